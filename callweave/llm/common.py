@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at a time inside a Python task; bounds a task's memory.
 BATCH_BYTES = 4 << 20
@@ -51,3 +52,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BA
             to = max(to, at + 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, hot: int = 256) -> DataFrame:
+    """rows left-joined with groups (one row for each key), where a few keys may hold most of the rows.
+
+    size names the column of groups with the number of rows of a key; key is a string column. Keys with
+    at least one in `hot` of all counted rows are `hot` at most, so those are broadcast; the others are
+    shuffled. Rows that are matched by then are dealt out by the column spread instead of their key.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    own = [c for c in groups.columns if c != key]
+    often = groups.select(key, *(F.col(c).alias(f"_hot_{c}") for c in own), F.lit(True).alias("_hot")).where(F.col(f"_hot_{size}") * hot >= total)
+    rest = groups.where(F.col(size) * hot < total).select(F.col(key).alias("_key"), *own)
+    found = rows.join(F.broadcast(often), key, "left")
+    dealt = F.when(F.col("_hot"), F.concat(F.lit("~"), F.xxhash64(spread).cast("string"))).otherwise(F.col(key))
+    found = found.withColumn("_key", dealt).join(rest, "_key", "left")
+    return found.select(*rows.columns, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in own))

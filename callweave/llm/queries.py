@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_output
+from . import bpe, dedup, packing, simhash, token_output
 from .common import scratch
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens.orc")
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -27,5 +31,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_output, op5_packing, op7_byte_bpe)}
-SQL: dict[str, str] = {}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), size=3, radius=2)
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_token_output, op5_packing, op7_byte_bpe, op8_simhash)}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY text)""",
+}
