@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, packing, simhash, token_output, topk
+from . import bpe, dedup, packing, simhash, token_output, topk, toxicity, warc
 from .common import scratch
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
@@ -40,7 +45,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), size=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op3_exact_dedup, op4_token_output, op5_packing, op7_byte_bpe, op8_simhash)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(warc.read_captures(spark, path), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk, op3_exact_dedup, op4_token_output, op5_packing, op7_byte_bpe, op8_simhash, op9_warc)}
 SQL: dict[str, str] = {
     "op2_topk": """
         WITH t AS (
@@ -60,4 +71,12 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)""",
+    "op9_warc": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        s AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+                     min(page_id) OVER (PARTITION BY html) AS least FROM t)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND least <> page_id THEN least END AS refers_to
+        FROM s""",
 }
