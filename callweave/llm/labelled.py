@@ -1,9 +1,10 @@
-"""Bounded samples of labelled documents, to train models on."""
+"""Bounded samples of labelled documents, and the logistic regression that is fitted to them."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,3 +30,16 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *columns).where(F.octet_length("text") <= LONGEST_EXAMPLE)
     found = texts.join(F.broadcast(reduce(DataFrame.unionByName, own)), "id").toArrow()
     return found.sort_by([("id", "ascending"), ("text", "ascending")])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+    """Weights of a logistic regression, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        move = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
+        w += np.clip(move, -5, 5)
+        if np.abs(move).max() < 1e-8:
+            break
+    return w

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, dedup, packing, simhash, token_output, topk, toxicity, warc
+from . import bpe, dedup, packing, pii, quality, simhash, token_output, topk, toxicity, warc
 from .common import scratch
 
 
@@ -37,6 +38,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -51,7 +56,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.read_captures(spark, path), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk, op3_exact_dedup, op4_token_output, op5_packing, op7_byte_bpe, op8_simhash, op9_warc)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    found = quality.judge(docs, model, F.col("source"), F.col("lang"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "doc_score", "host_quality", "path_quality", "score", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk, op3_exact_dedup, op4_token_output, op5_packing, op6_pii, op7_byte_bpe, op8_simhash, op9_warc, op10_quality)}
 SQL: dict[str, str] = {
     "op2_topk": """
         WITH t AS (

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .labelled import examples, fold
+from .labelled import examples, fold, logistic
 
 BUCKETS = 1 << 17
 SIZE = 12
@@ -158,19 +158,6 @@ class Trainer:
         return np.add.reduceat(self.model()[0][self.buckets], self.start) / self.n
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights of a logistic regression, by Newton's method."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        move = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
-        w += np.clip(move, -5, 5)
-        if np.abs(move).max() < 1e-8:
-            break
-    return w
-
-
 def train(texts: Sequence[str], labels: Sequence[int], rounds: int = 4, seed: int = 7) -> Model:
     """A model of labelled texts.
 
