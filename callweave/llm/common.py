@@ -69,3 +69,19 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     dealt = F.when(F.col("_hot"), F.concat(F.lit("~"), F.xxhash64(spread).cast("string"))).otherwise(F.col(key))
     found = found.withColumn("_key", dealt).join(rest, "_key", "left")
     return found.select(*rows.columns, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in own))
+
+
+#: Rows to drop up to this many are broadcast; more are joined through a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A key of a row's id and text, also where the id is null or repeats."""
+    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.lit(":"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str = "key") -> DataFrame:
+    """docs without the rows whose row_key is in dropped. A checked small number of keys is broadcast, so that texts stay where they are."""
+    dropped = written(dropped.select(F.col(key).alias("_drop")).distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if few else dropped, row_key() == F.col("_drop"), "left_anti")

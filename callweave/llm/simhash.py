@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import close_pairs, join_runs
@@ -38,21 +38,22 @@ def fingerprint(text: str, size: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the 64-bit fingerprint, as a signed long, of every whole text.
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """(id, tag, fp): the 64-bit fingerprint, as a signed long, of every whole text.
 
     A-Z are lower-cased; words are separated by ASCII white space; shingles are `size` words, repeats
-    included. Fewer words are one shingle; no words (also a null text) give fingerprint 0.
+    included. Fewer words are one shingle; no words (also a null text) give fingerprint 0. tag is carried along.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(made.view(np.int64))], names=["id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    tag = F.lit(None) if tag is None else tag
+    rows = docs.select(F.col(id_col).alias("id"), tag.cast("string").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, tag string, fp long")
 
 
 def _segments(radius: int) -> tuple[int, int]:
@@ -177,8 +178,8 @@ def links(nodes: DataFrame, radius: int = 2, most: int = MOST_IN_KEY) -> DataFra
     return made.where("b is not null").select("a", "b").unionByName(_balls(apart, radius))
 
 
-def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_IN_KEY) -> DataFrame:
-    """One row per input row: id, fingerprint (hex), component_id.
+def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_IN_KEY, tag: Column | None = None) -> DataFrame:
+    """One row per input row: id, fingerprint (hex), component_id (and tag, if one is given).
 
     Documents are linked when their fingerprints differ in at most radius bits; component_id is the
     smallest id that links reach, the row's own included. Texts without words have fingerprint zero and
@@ -188,9 +189,9 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "
 
     Exact copies and equal fingerprints are one node from the start, so large groups of copies cost one row.
     """
-    base = written(fingerprints(docs, size, id_col, text_col).withColumn("hex", F.lpad(F.lower(F.hex("fp")), 16, "0")), "fingerprints")
+    base = written(fingerprints(docs, size, id_col, text_col, tag).withColumn("hex", F.lpad(F.lower(F.hex("fp")), 16, "0")), "fingerprints")
     nodes = written(base.groupBy("fp", "hex").agg(F.min("id").cast("long").alias("id"), F.count("*").alias("size")), "nodes")
     found = components(links(nodes.where("id is not null").select("id", "fp"), radius, most))
     named = nodes.join(found, "id", "left").select("hex", "size", F.coalesce("component", "id").alias("component_id"))
-    out = spread_join(base.select("id", "hex"), written(named, "named"), "hex", "size", F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("hex").alias("fingerprint"), "component_id")
+    out = spread_join(base.select("id", "tag", "hex"), written(named, "named"), "hex", "size", F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("hex").alias("fingerprint"), "component_id", *(["tag"] if tag is not None else []))

@@ -1,8 +1,52 @@
 """The corpus pipeline: its stages in order, each one operator of callweave.llm."""
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callweave.llm import dedup, packing, pii, quality, simhash
+from callweave.llm.common import row_key, without, written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, with its hosts' and paths' posteriors, keeps."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judge(docs, model, F.col("source"), F.col("lang")).where("kept").select("row.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of each text; rows that repeat it whole stay with it."""
+    groups = dedup.exact_groups(docs, keep="smallest").where("not kept")
+    dropped = groups.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit(":"), F.col("text_sha256")).alias("key"))
+    return without(docs, dropped)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of each group of near copies; rows without an id stay unless others with one are alike."""
+    groups = simhash.near_groups(docs, tag=row_key())
+    return without(docs, groups.where("component_id is not null and not component_id <=> doc_id"), "tag")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in their texts replaced by its kind, and n_chars as it is then."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids in sequences of at most 2048."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
+STAGES = [("quality", good_quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", packed)]
+#: Models and tokenizers can't be written as SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each to what the one before has written."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
