@@ -1,0 +1 @@
+"""Call-graph analytics on Spark: nodes, edges and labels as DataFrames, queries as plans over them."""
