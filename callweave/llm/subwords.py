@@ -1,4 +1,4 @@
-"""Encoding whole texts with the tokenizers library, one call for each distinct word.
+"""Encoding whole texts with the tokenizers library, once for each distinct piece.
 
 Pre-tokenizers of the byte-level and word-end families never join a non-space character with the
 space after it, nor a letter with an ASCII mark or digit after it, so a text may be cut there without
@@ -12,6 +12,7 @@ import base64
 import os
 import re
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -22,6 +23,10 @@ _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PIECE = re.compile(rf" ?[{_LATIN}]++(?=[ \n!-@\[-`{{-~]|\Z)| ?[^ \n]+|\n(?=[^ \n])|[ \n]+[^ \n]*")
 _ODD = re.compile("[^\\S \\n]|[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x9f᠎​﻿]")
 _PLAIN = re.compile(r" ?[^ \n]+")
+_LETTERS = re.compile(rf" ?[{_LATIN}]+")
+_SAFE = re.compile(rf"[\n -~{_LATIN}]*")
+#: Before a word that no space precedes; texts that hold it themselves are never split.
+_BARE = "\0"
 
 
 def byte_chars() -> list[str]:
@@ -59,31 +64,74 @@ def tokenizer_of(path: str, pattern: str | None = None):
     return made
 
 
+class Slots:
+    """Ids of strings end to end, with each string's place."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.starts = np.zeros(0, np.int64)
+        self.lens = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def add(self, names: Sequence[str], flat: np.ndarray, lens: np.ndarray) -> None:
+        base = len(self.lens)
+        self.at.update(zip(names, range(base, base + len(names)), strict=True))
+        self.starts = np.concatenate([self.starts, np.cumsum(lens) - lens + len(self.flat)])
+        self.lens = np.concatenate([self.lens, lens]).astype(np.int64)
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def ids(self, names: Sequence[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the names end to end, and how many each of the groups of `counts` names has."""
+        at = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+        size = self.lens[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        where = np.repeat(self.starts[at] - ends[:-1], size) + np.arange(ends[-1])
+        return self.flat[where], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+    def forget(self, names: set[str], longest: int) -> None:
+        for name in names:
+            if len(name) > longest:
+                del self.at[name]
+
+
 class Encoder:
     """encode(texts) gives all ids in one int32 array and the number of ids of each text.
 
+    Texts of plain words with single spaces and line ends are split there and looked up word by word;
+    a new word, or any other text as a whole, is put together from pieces that the library has encoded.
+
     mark: a string between pieces that always yields the one id after which the next piece starts
-    anew; keep: most distinct pieces held (the table is emptied beyond that).
+    anew; keep: most distinct words held, and most pieces (a table is emptied beyond that).
     """
 
-    def __init__(self, tokenizer, mark: str = "\n", keep: int = 1_000_000):
+    def __init__(self, tokenizer, mark: str = "\n", keep: int = 800_000):
         self.tokenizer, self.keep = tokenizer, keep
         self.mark = mark
         ids = tokenizer.encode(f"a{mark}a", add_special_tokens=False).ids
         self.mark_id = ids[1]
         self.joins = len(ids) == 3
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.starts = np.zeros(0, np.int64)
-        self.lens = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        capitals = [c for c in map(chr, range(33, 256)) if _SAFE.fullmatch(c) and c != c.lower()]
+        self.lowers = all(a.ids == b.ids for a, b in zip(*(tokenizer.encode_batch(x, add_special_tokens=False) for x in (capitals, [c.lower() for c in capitals])), strict=True))
+        self.bare = tokenizer.encode(" hello", add_special_tokens=False).ids == tokenizer.encode("hello", add_special_tokens=False).ids
+        self.model, self.table = tokenizer.model, dict(enumerate(byte_chars()))
+        probe = [" hello", "hello", " Économie", "zqxvkjq", " Straße"]
+        self.direct = all(self._letters(x) == y.ids for x, y in zip(probe, tokenizer.encode_batch(probe, add_special_tokens=False), strict=True))
+        self.words, self.pieces = Slots(), Slots()
+
+    def _letters(self, piece: str) -> list[int]:
+        """The ids of a piece that no pattern splits, straight from the library's model."""
+        piece = piece.lower() if self.lowers else piece
+        raw = (piece.lstrip(" ") if self.bare else piece).encode().decode("latin-1").translate(self.table)
+        return [t.id for t in self.model.tokenize(raw)]
 
     def _add(self, pieces: set[str], odd: set[str]) -> None:
         plain, other = [], []
-        for piece in pieces:
+        letters = [p for p in pieces if self.direct and _LETTERS.fullmatch(p)]
+        if letters:
+            found = list(map(self._letters, letters))
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.pieces.add(letters, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size)
+        for piece in pieces.difference(letters):
             (plain if self.joins and _PLAIN.fullmatch(piece) and piece not in odd else other).append(piece)
         flats, lens, names = [], [], []
         groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
@@ -102,40 +150,53 @@ class Encoder:
                 flats.append(np.array(made.ids, np.int32))
                 lens.append(np.array([len(flats[-1])]))
                 names.append(piece)
-        if not names:
-            return
-        base = len(self.lens)
-        self.slots.update(zip(names, range(base, base + len(names)), strict=True))
-        self.lens = np.concatenate([self.lens, *lens]).astype(np.int64)
-        self.flat = np.concatenate([self.flat, *flats])
-        self.starts = np.cumsum(self.lens) - self.lens
+        if names:
+            self.pieces.add(names, np.concatenate(flats), np.concatenate(lens))
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.slots) > self.keep or len(self.flat) > 10 * self.keep:
-            self._clear()
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of new words together. A word stands for itself after a space, unless it starts with a line end; after _BARE it stands for itself alone."""
         pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
+        counts = np.zeros(len(words), np.int64)
         odd: set[str] = set()
-        for i, text in enumerate(texts):
-            if _ODD.search(text):
+        for i, word in enumerate(words):
+            text = word[1:] if word[:1] == _BARE else word if word[:1] == "\n" else " " + word
+            if self.lowers and _SAFE.fullmatch(text):
+                text = text.lower()  # the vocabulary has lower case only: one piece instead of several
+            if not word.isprintable() and _ODD.search(text):
                 own = [text]
                 odd.add(text)
             else:
                 own = _PIECE.findall(text)
             counts[i] = len(own)
             pieces += own
-        new = set(pieces).difference(self.slots)
+        new = set(pieces).difference(self.pieces.at)
         if new:
             self._add(new, odd)
-        at = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
-        for piece in new:
-            if len(piece) > 100:
-                del self.slots[piece]
-        size = self.lens[at]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        where = np.repeat(self.starts[at] - ends[:-1], size) + np.arange(ends[-1])
-        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[where], np.diff(bounds)
+        self.words.add(words, *self.pieces.ids(pieces, counts))
+        self.pieces.forget(new, 100)
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words.at) > self.keep or len(self.words.flat) > 10 * self.keep:
+            self.words = Slots()
+        if len(self.pieces.at) > self.keep or len(self.pieces.flat) > 10 * self.keep:
+            self.pieces = Slots()
+        words: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            line = text.replace("\n", " ")
+            if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+                own = text.replace("\n", " \n").split(" ")
+                own[0] = _BARE + own[0]
+            else:
+                own = [_BARE + text]
+            counts[i] = len(own)
+            words += own
+        new = set(words).difference(self.words.at)
+        if new:
+            self._learn(list(new))
+        out = self.words.ids(words, counts)
+        self.words.forget(new, 100)
+        return out
 
 
 _made: dict[tuple, Encoder] = {}
