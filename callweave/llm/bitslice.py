@@ -4,19 +4,42 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 64
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def planes(fingerprints: np.ndarray, room: int) -> np.ndarray:
-    """Row b: bit b of every fingerprint, 64 of them to a word; `room` empty words follow."""
+def planes(fingerprints: np.ndarray, room: int = 0) -> np.ndarray:
+    """Row b: bit b of every fingerprint (a word, or a row of words), 64 of them to a word; `room` empty words follow."""
     n = len(fingerprints)
-    bits = np.unpackbits(fingerprints.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    raw = np.ascontiguousarray(fingerprints.astype("<u8")).view(np.uint8).reshape(n, -1)
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
     packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    out = np.zeros((BITS, (-(-n // 64) + room) * 8), np.uint8)
+    out = np.zeros((bits.shape[1], (-(-n // 64) + room) * 8), np.uint8)
     out[:, : packed.shape[1]] = packed
     return out.view("<u8")
 
 
+def counters(radius: int, words: int) -> list[np.ndarray]:
+    """Counter bits across the planes, set so that counting past the radius carries out of the top one."""
+    width = (radius + 1).bit_length()
+    preset = (1 << width) - 1 - radius
+    return [np.full(words, _FULL if preset >> k & 1 else 0, np.uint64) for k in range(width)]
+
+
+def near_one(store: np.ndarray, n: int, fingerprint: np.ndarray, radius: int) -> np.ndarray:
+    """Positions of the n fingerprints in the planes that differ from one in at most radius bits."""
+    own = np.unpackbits(np.ascontiguousarray(np.atleast_1d(fingerprint).astype("<u8")).view(np.uint8), bitorder="little")
+    count, over = counters(radius, store.shape[1]), np.zeros(store.shape[1], np.uint64)
+    for b, bit in enumerate(own):
+        carry = ~store[b] if bit else store[b]
+        for k in range(len(count)):
+            count[k], carry = count[k] ^ carry, count[k] & carry
+        over |= carry
+        if b % 8 == 7 and (over == _FULL).all():
+            break
+    hit = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little"))
+    return hit[hit < n]
+
+
 def close_pairs(fingerprints: np.ndarray, run: np.ndarray, radius: int, block_words: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j), i < j, of fingerprints of the same run that differ in at most radius bits.
 
@@ -31,9 +54,6 @@ def close_pairs(fingerprints: np.ndarray, run: np.ndarray, radius: int, block_wo
     longest = int(np.max(np.diff(np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]])))))
     store = planes(fingerprints, longest // 64 + 2)
     words = -(-n // 64)
-    width = (radius + 1).bit_length()
-    preset = (1 << width) - 1 - radius
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
     left, right = [], []
     for d in range(1, longest):
         same = np.zeros(words * 64, np.uint8)
@@ -46,18 +66,18 @@ def close_pairs(fingerprints: np.ndarray, run: np.ndarray, radius: int, block_wo
         for first in range(int(used[0]), int(used[-1]) + 1, block_words):
             end = min(first + block_words, words)
             over = ~lanes[first:end]
-            if (over == full).all():
+            if (over == _FULL).all():
                 continue
-            counter = [np.full(end - first, full if preset >> k & 1 else 0, np.uint64) for k in range(width)]
-            for b in range(BITS):
+            counter = counters(radius, end - first)
+            for b in range(len(store)):
                 other = store[b, first + skip : end + skip]
                 if turn:
                     other = (other >> np.uint64(turn)) | (store[b, first + skip + 1 : end + skip + 1] << np.uint64(64 - turn))
                 carry = store[b, first:end] ^ other
-                for k in range(width):
+                for k in range(len(counter)):
                     counter[k], carry = counter[k] ^ carry, counter[k] & carry
                 over |= carry
-                if b % 4 == 3 and (over == full).all():
+                if b % 4 == 3 and (over == _FULL).all():
                     break
             hit = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little")) + first * 64
             left.append(hit)
@@ -81,3 +101,32 @@ def join_runs(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if (new == least).all():
             return least
         least = new
+
+
+def large_run(fingerprints: np.ndarray, radius: int, direct: int = 512) -> np.ndarray:
+    """The least position that links within the radius connect each fingerprint of one run with.
+
+    Short runs compare all pairs. In a long one, what is near a pivot is one part at once; only pairs
+    across parts are compared then, so a large group of near copies costs one comparison each, and what isn't
+    near it one with every member. No link between parts is missed.
+    """
+    n = len(fingerprints)
+    if n <= direct:
+        return join_runs(n, *close_pairs(fingerprints, np.zeros(n, np.int64), radius))
+    store = planes(fingerprints)
+    part = np.full(n, -1)
+    left, right = [], []
+    while (part < 0).any():
+        pivot = int(np.flatnonzero(part < 0)[0])
+        near = near_one(store, n, fingerprints[pivot], radius)
+        own = near[part[near] < 0]
+        part[own] = pivot
+        left.append(np.full(len(near), pivot))
+        right.append(near)
+    # Members of a part are connected already; each one but those of the largest part looks for links to others.
+    pivots, size = np.unique(part, return_counts=True)
+    for i in np.flatnonzero((part != pivots[size.argmax()]) & (part != np.arange(n))):
+        near = near_one(store, n, fingerprints[i], radius)
+        left.append(np.full(len(near), i))
+        right.append(near)
+    return join_runs(n, np.concatenate(left), np.concatenate(right))

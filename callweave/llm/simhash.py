@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitslice import close_pairs, join_runs
+from .bitslice import close_pairs, join_runs, large_run
 from .common import slices, spread_join, written
 from .components import components
 
@@ -18,26 +18,59 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MOST_IN_KEY = 1024
 
 
-def fingerprint(text: str, size: int) -> int:
-    """The SimHash of a text's shingles: a bit is set if it is set in over half of their XXH64."""
+def _ones(words: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of words."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    found = bits[whole:].sum(axis=0, dtype=np.uint8).astype(np.int64)
+    return found + bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) if whole else found
+
+
+def _shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles, some at a time."""
     import xxhash
 
     words = text.encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     n = max(1, len(words) - size + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     last = ends[size - 1 :].tolist() if len(words) >= size else [len(joined)]
     of = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
-        hashes = np.array([of(joined[a:b], 42) for a, b in zip(starts[at : at + 65536], last[at : at + 65536], strict=True)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([of(joined[a:b], 42) for a, b in zip(starts[at : at + 65536], last[at : at + 65536], strict=True)], "<u8")
+
+
+def fingerprint(text: str, size: int) -> int:
+    """The SimHash of a text's shingles: a bit is set if it is set in over half of their XXH64."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in _shingle_hashes(text, size):
+        n += len(hashes)
+        ones += _ones(hashes)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+#: Rows of whole keys that a task compares at once.
+AT_ONCE = 1 << 18
+#: Words of a wide fingerprint, and odd constants that make each from a shingle's hash.
+WIDE = 8
+_TURNS = [(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(WIDE)]
+
+
+def wide_fingerprint(text: str, size: int) -> np.ndarray:
+    """A SimHash of WIDE words over the distinct shingles of a text."""
+    hashes = np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingle_hashes(text, size)]))
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 16384):
+        words = hashes[at : at + 16384, None] + np.array(_TURNS, np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            words = (words ^ (words >> np.uint64(shift))) * np.uint64(factor)
+        ones += _ones(words ^ (words >> np.uint64(31)))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
     """(id, tag, fp): the 64-bit fingerprint, as a signed long, of every whole text.
 
@@ -195,3 +228,101 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "
     named = nodes.join(found, "id", "left").select("hex", "size", F.coalesce("component", "id").alias("component_id"))
     out = spread_join(base.select("id", "tag", "hex"), written(named, "named"), "hex", "size", F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("hex").alias("fingerprint"), "component_id", *(["tag"] if tag is not None else []))
+
+
+def differing(similarity: float, slack: float = 0.5) -> int:
+    """Bits of a wide fingerprint that sets of this Jaccard similarity differ in, and `slack` standard deviations more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * WIDE
+    return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
+
+
+def wide_keys(words: np.ndarray, nodes: int, similarity: float, missed: float = 0.05) -> np.ndarray:
+    """A key in each of some tables: so many of the fingerprint's bits that tables stay sparse for this number of nodes.
+
+    There are so many tables that a pair somewhat above the similarity shares no key with the chance `missed` at most.
+    """
+    same = 1 - np.arccos(2 * (similarity + 0.02) / (1.02 + similarity)) / np.pi
+    k = max(14, int(np.ceil(np.log2(max(2, nodes)))) - 6)
+    tables = int(np.ceil(np.log(missed) / np.log(1 - same**k)))
+    rng = np.random.default_rng(11)
+    order = np.concatenate([rng.permutation(64 * WIDE) for _ in range(-(-tables * k // (64 * WIDE)) + 1)])
+    bits = np.unpackbits(np.ascontiguousarray(words.astype("<u8")).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+    weight = np.int64(1) << np.arange(k, dtype=np.int64)
+    return np.stack([bits[:, order[t * k : (t + 1) * k]] @ weight + (t << 40) for t in range(tables)], axis=1)
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """(id, component_id, tag): documents grouped by the Jaccard similarity of their shingles, as wide fingerprints show it.
+
+    Two texts are linked when their 512-bit SimHashes over distinct shingles differ in no more bits than texts of
+    this similarity mostly do; component_id is the smallest id that links reach. Candidates share the key of a table of sampled bits,
+    in enough tables to meet about 95 % of the pairs at the similarity and nearly all closer ones. All rows
+    of a key are compared bit-sliced; large groups of near copies by pivots, without all their pairs.
+
+    Null and wordless texts are alike. Rows without an id link nothing, and get the component of rows with the
+    same fingerprint. Equal fingerprints are one node from the start. No rows give no rows.
+    """
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    cols = [f"w{i}" for i in range(WIDE)]
+    spec = ", ".join(f"{c} long" for c in cols)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = np.stack([wide_fingerprint(t, size) for t in batch.column("text").to_pylist()]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), *(pa.array(words[:, i]) for i in range(WIDE))], names=["id", "tag", *cols])
+
+    tag = F.lit(None) if tag is None else tag
+    rows = docs.select(F.col(id_col).alias("id"), tag.cast("string").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = written(rows.mapInArrow(made, f"id {kind}, tag string, {spec}").withColumn("hex", F.concat(*(F.lpad(F.hex(c), 16, "0") for c in cols))), "wide")
+    nodes = written(base.groupBy("hex", *cols).agg(F.min("id").cast("long").alias("id"), F.count("*").alias("size")), "nodes")
+    total = nodes.count()
+    radius = differing(similarity)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                own = batch.slice(at, 2000)
+                keys = wide_keys(np.stack([own.column(c).to_numpy() for c in cols], axis=1), total, similarity)
+                again = np.repeat(np.arange(own.num_rows), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(own.column(c).take(pa.array(again)) for c in ("id", *cols))], names=["key", "id", *cols])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * (2 + WIDE)
+
+        def linked(own: list[np.ndarray]) -> pa.RecordBatch:
+            key, ids, words = own[0], own[1], np.stack(own[2:], axis=1).view(np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            lengths = np.diff(np.concatenate([starts, [len(key)]]))
+            least = np.arange(len(key))
+            low = 2
+            while low <= 512:  # runs of like lengths at once, so that few lanes of an offset are idle
+                pick = np.repeat((lengths >= low) & (lengths < 2 * low), lengths)
+                if pick.any():
+                    where = np.flatnonzero(pick)
+                    least[where] = where[join_runs(len(where), *close_pairs(words[where], key[where], radius))]
+                low *= 2
+            for s, n in zip(starts[lengths >= 1024], lengths[lengths >= 1024], strict=True):
+                least[s : s + n] = s + large_run(words[s : s + n], radius)
+            moved = np.flatnonzero(least != np.arange(len(key)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[least[moved]]), pa.array(ids[moved])], names=["a", "b"])
+
+        waiting: list[list[np.ndarray]] = []
+        for batch in batches:
+            waiting.append([batch.column(i).to_numpy() for i in range(2 + WIDE)])
+            if sum(len(w[0]) for w in waiting) < AT_ONCE:
+                continue
+            held = [np.concatenate(parts) for parts in zip(held, *waiting, strict=True)]
+            waiting = []
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield linked([h[:last] for h in held])
+                held = [h[last:] for h in held]
+        yield linked([np.concatenate(parts) for parts in zip(held, *waiting, strict=True)])
+
+    some = nodes.where("id is not null").select("id", *cols)
+    dealt = some.mapInArrow(keyed, f"key long, id long, {spec}").repartition("key").sortWithinPartitions("key", "id")
+    found = components(written(dealt.select("key", "id", *cols).mapInArrow(compared, "a long, b long"), "links"))
+    named = nodes.join(found, "id", "left").select("hex", "size", F.coalesce("component", "id").alias("component_id"))
+    out = spread_join(base.select("id", "tag", "hex"), written(named, "named"), "hex", "size", F.col("id"))
+    return out.select(F.col("id").alias(id_col), "component_id", "tag")

@@ -22,8 +22,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each group of near copies; rows without an id stay unless others with one are alike."""
-    groups = simhash.near_groups(docs, tag=row_key())
+    """The row with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8); rows without an id stay unless others with one are alike."""
+    groups = simhash.similar_groups(docs, size=5, similarity=0.8, tag=row_key())
     return without(docs, groups.where("component_id is not null and not component_id <=> doc_id"), "tag")
 
 

@@ -125,3 +125,39 @@ def test_near_groups(spark, most):
     want = [(i, f"{fps[k]:016x}", least[of[k]] if i is not None else 102) for k, (i, _) in enumerate(rows)]
     assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
     assert len(set(of)) < 60
+
+
+def test_large_run():
+    """Pivots find the same parts as all pairs, chains included."""
+    rng = np.random.default_rng(3)
+    for n, radius in ((40, 6), (200, 6), (90, 20)):
+        fps = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)[rng.integers(0, 6, n)]
+        for _ in range(radius):
+            at = rng.integers(0, 256, n)
+            fps[np.arange(n), at // 64] ^= (np.uint64(1) << (at % 64).astype(np.uint64)) * rng.integers(0, 2, n).astype(np.uint64)
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if np.unpackbits((fps[i] ^ fps[j]).view(np.uint8)).sum() <= radius]
+        want = components_of(n, pairs)
+        assert bitslice.large_run(fps, radius, direct=1).tolist() == want and bitslice.large_run(fps, radius).tolist() == want
+
+
+def test_similar_groups(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows, group = [], []
+    for g in range(12):
+        words = [word() for _ in range(150)]
+        for _ in range(1 if g % 3 else 8):
+            own = list(words)
+            for at in rng.sample(range(150), rng.randrange(2)):
+                own[at] = word()
+            group.append(g)
+            rows.append((len(rows) * 5 % 997, " ".join(own)))
+    rows += [(900, ""), (901, None), (None, rows[0][1]), (902, "one two"), (903, "ONE two"), (904, "x y z " * 20000)]
+    group += [100, 100, 0, 101, 101, 102]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        if i is not None:
+            least[g] = min(least.get(g, 10**9), i)
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r[0], r[1]) for r in found), key=repr) == sorted(((i, least[g]) for (i, _), g in zip(rows, group, strict=True)), key=repr)
+    assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
