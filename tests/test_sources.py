@@ -58,8 +58,8 @@ unknown line
 
 
 def test_script(spark, tmp_path):
-    (tmp_path / "in.vrc").write_text(SCRIPT)
-    g = readers.load(spark, "script", str(tmp_path / "in.vrc"))
+    (tmp_path / "in.txt").write_text(SCRIPT)
+    g = readers.load(spark, "script", str(tmp_path / "in.txt"))
     assert {r["name"]: r["external"] for r in g.nodes.collect()} == {"func1": False, "func2": False, "ext": True, "S::f": False, "with space": False, "new": True}
     assert edges(g) == [("S::f", "func1", True), ("func2", "ext", False), ("func2", "new", True)]
     writers.save_script(g, str(tmp_path / "out"))
@@ -87,8 +87,8 @@ def test_dot(spark, tmp_path):
 def test_golden_script(spark, tmp_path):
     calls = "S::f>func1 S::g>func1 S::h>func1 func3>func3 func3>S::f func3>S::g func3>S::h func3>S::j S::f>func2 S::g>func2 S::h>func2".split()
     lines = [f'node "{n}" t.c' for n in "func1 func2 func3 S::f S::g S::h S::j".split()] + ["edge " + " ".join(f'"{x}"' for x in c.split(">")) for c in calls]
-    (tmp_path / "g.vrc").write_text("\n".join(lines))
-    g = readers.read_script(spark, str(tmp_path / "g.vrc"))
+    (tmp_path / "g.txt").write_text("\n".join(lines))
+    g = readers.read_script(spark, str(tmp_path / "g.txt"))
     got = {r["caller"]: r["callees"] for r in neighbours.callers_report(g, None).collect()}
     assert got == {"S::f": "func1, func2", "S::g": "func1, func2", "S::h": "func1, func2", "func3": "S::f, S::g, S::h, S::j, func3"}
 
@@ -111,7 +111,7 @@ def test_compile_database(spark, tmp_path):
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, text in enumerate(("node a f.c\nedge a b call", "node b f.c\nedge b c ref")):
-        (tmp_path / "in" / f"{k}.vrc").write_text(text)
+        (tmp_path / "in" / f"{k}.txt").write_text(text)
         q = incremental.collect_facts(incremental.script_stream(spark, str(tmp_path / "in")), str(tmp_path / "facts"), str(tmp_path / "state"))
         q.awaitTermination(120)
         g = incremental.current(spark, str(tmp_path / "facts"))
