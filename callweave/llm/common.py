@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +15,24 @@ from pyspark.sql import functions as F
 #: Text handled at a time inside a Python task; bounds a task's memory.
 BATCH_BYTES = 4 << 20
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the session's Python workers, once, unless PYTHONPATH names its folder anyway."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    app = spark.sparkContext.applicationId
+    if app in _shipped or top in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    made = os.path.join(tempfile.mkdtemp(prefix="spark-"), "callweave.zip")
+    with zipfile.ZipFile(made, "w") as z:
+        for folder, _, names in os.walk(os.path.join(top, "callweave")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), top))
+    spark.sparkContext.addPyFile(made)
+    _shipped.add(app)
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
