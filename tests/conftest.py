@@ -15,7 +15,7 @@ def spark():
 
     session = (
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.default.parallelism", "2").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
