@@ -97,8 +97,8 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """(row, doc_score, host_quality, path_quality, score, kept): row is a struct of all columns of docs.
+def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, threshold: float = 0.5, text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """(row, doc_score, host_quality, path_quality, score, kept): row is a struct of the columns to carry, by default all of docs.
 
     doc_score is the document's own probability of good quality; host_quality and path_quality are
     posterior shares of good documents, where a host is drawn around the global share and a path around its host's;
@@ -110,7 +110,8 @@ def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, thresh
     a large host is no more than a row from each task. Few paths are broadcast to the scored rows; more than
     BROADCAST_PATHS are joined by a shuffle with large ones apart.
     """
-    schema = docs.schema.simpleString()
+    carry = list(carry or docs.columns)
+    schema = docs.select(*(F.col(f"`{c}`") for c in carry)).schema.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +120,7 @@ def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, thresh
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), batch.column("path"), pa.array(logits)], names=["row", "host", "path", "logit"])
 
     key = F.concat(F.coalesce(host.cast("string"), F.lit("\0")), F.lit("\1"), F.coalesce(path.cast("string"), F.lit("\0")))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), key.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), key.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scored = written(rows.mapInArrow(run, f"row {schema}, host string, path string, logit double"), "scored")
     good = 1 / (1 + F.exp(-(F.col("logit") + float(np.log(model.prior / (1 - model.prior))))))
     scored = scored.withColumn("p", good)

@@ -58,9 +58,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    found = quality.judge(docs, model, F.col("source"), F.col("lang"))
+    found = quality.judge(docs, model, F.col("source"), F.col("lang"), carry=["doc_id"])
     return found.select(F.col("row.doc_id").alias("doc_id"), "doc_score", "host_quality", "path_quality", "score", "kept")
 
 
