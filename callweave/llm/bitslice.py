@@ -11,10 +11,11 @@ def planes(fingerprints: np.ndarray, room: int = 0) -> np.ndarray:
     """Row b: bit b of every fingerprint (a word, or a row of words), 64 of them to a word; `room` empty words follow."""
     n = len(fingerprints)
     raw = np.ascontiguousarray(fingerprints.astype("<u8")).view(np.uint8).reshape(n, -1)
-    bits = np.unpackbits(raw, axis=1, bitorder="little")
-    packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    out = np.zeros((bits.shape[1], (-(-n // 64) + room) * 8), np.uint8)
-    out[:, : packed.shape[1]] = packed
+    out = np.zeros((8 * raw.shape[1], (-(-n // 64) + room) * 8), np.uint8)
+    for k in range(raw.shape[1]):  # a byte at a time, to hold few unpacked bits
+        bits = np.unpackbits(np.ascontiguousarray(raw[:, k : k + 1]), axis=1, bitorder="little")
+        packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+        out[8 * k : 8 * k + 8, : packed.shape[1]] = packed
     return out.view("<u8")
 
 
@@ -123,9 +124,10 @@ def large_run(fingerprints: np.ndarray, radius: int, direct: int = 512) -> np.nd
         part[own] = pivot
         left.append(np.full(len(near), pivot))
         right.append(near)
-    # Members of a part are connected already; each one but those of the largest part looks for links to others.
-    pivots, size = np.unique(part, return_counts=True)
-    for i in np.flatnonzero((part != pivots[size.argmax()]) & (part != np.arange(n))):
+    # Pivots have joined most parts by then; only what isn't in the largest of them looks for more links.
+    joined = join_runs(n, np.concatenate(left), np.concatenate(right))
+    largest = np.bincount(joined).argmax()
+    for i in np.flatnonzero((joined != largest) & (part != np.arange(n))):
         near = near_one(store, n, fingerprints[i], radius)
         left.append(np.full(len(near), i))
         right.append(near)

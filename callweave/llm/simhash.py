@@ -53,7 +53,7 @@ def fingerprint(text: str, size: int) -> int:
 
 
 #: Rows of whole keys that a task compares at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 17
 #: Words of a wide fingerprint, and odd constants that make each from a shingle's hash.
 WIDE = 8
 _TURNS = [(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(WIDE)]

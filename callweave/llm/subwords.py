@@ -202,9 +202,9 @@ class Encoder:
 _made: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, pattern: str | None = None, mark: str = "\n") -> Encoder:
+def encoder(path: str, pattern: str | None = None, mark: str = "\n", keep: int = 800_000) -> Encoder:
     """The worker's own encoder of a vocabulary file; kept between tasks."""
     key = (path, pattern, mark)
     if key not in _made:
-        _made[key] = Encoder(tokenizer_of(path, pattern), mark)
+        _made[key] = Encoder(tokenizer_of(path, pattern), mark, keep)
     return _made[key]
