@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import close_pairs, join_runs, large_run
-from .common import slices, spread_join, written
+from .common import BROADCAST_ROWS, slices, spread_join, written
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -59,9 +59,17 @@ WIDE = 8
 _TURNS = [(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(WIDE)]
 
 
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """XXH64 of the distinct shingles of a text, in order."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingle_hashes(text, size)]))
+
+
 def wide_fingerprint(text: str, size: int) -> np.ndarray:
     """A SimHash of WIDE words over the distinct shingles of a text."""
-    hashes = np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingle_hashes(text, size)]))
+    return _wide(shingle_set(text, size))
+
+
+def _wide(hashes: np.ndarray) -> np.ndarray:
     ones = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(hashes), 16384):
         words = hashes[at : at + 16384, None] + np.array(_TURNS, np.uint64)
@@ -230,8 +238,12 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "
     return out.select(F.col("id").alias(id_col), F.col("hex").alias("fingerprint"), "component_id", *(["tag"] if tag is not None else []))
 
 
-def differing(similarity: float, slack: float = 0.5) -> int:
-    """Bits of a wide fingerprint that sets of this Jaccard similarity differ in, and `slack` standard deviations more."""
+def differing(similarity: float, slack: float = 7.7) -> int:
+    """Bits of a wide fingerprint that sets of this Jaccard similarity differ in, and `slack` standard deviations more.
+
+    The slack is for short texts: sets of four and five that share four (0.8) differ in 96 of 512 bits on average, where long
+    ones differ in 78, and it leaves these five deviations too. What is within the bits is a candidate and no more.
+    """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * WIDE
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
@@ -252,13 +264,37 @@ def wide_keys(words: np.ndarray, nodes: int, similarity: float, missed: float =
     return np.stack([bits[:, order[t * k : (t + 1) * k]] @ weight + (t << 40) for t in range(tables)], axis=1)
 
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of nodes whose sets of shingle hashes have this Jaccard similarity at least.
+
+    sets: (node, shingles), the hashes as sorted 64-bit words. A node in many pairs is broadcast to them.
+    """
+    pairs = written(pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct(), "pairs")
+    degrees = written(pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("degree")), "degrees")
+    few = degrees.count() <= BROADCAST_ROWS
+    own = written(sets.withColumn("k", F.col("node").cast("string")).join(F.broadcast(degrees) if few else degrees, "k").select("k", "degree", "shingles"), "sets")
+    found = pairs
+    for end, other in (("a", "b"), ("b", "a")):
+        found = spread_join(found, own.select(F.col("k").alias(end), F.col("degree").alias(f"n_{end}"), F.col("shingles").alias(f"set_{end}")), end, f"n_{end}", F.col(other))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("set_a", "set_b"))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return found.select("a", "b", "set_a", "set_b").mapInArrow(run, "a string, b string").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
-    """(id, component_id, tag): documents grouped by the Jaccard similarity of their shingles, as wide fingerprints show it.
+    """(id, component_id, tag): documents grouped by the Jaccard similarity of their shingles.
 
-    Two texts are linked when their 512-bit SimHashes over distinct shingles differ in no more bits than texts of
-    this similarity mostly do; component_id is the smallest id that links reach. Candidates share the key of a table of sampled bits,
-    in enough tables to meet about 95 % of the pairs at the similarity and nearly all closer ones. All rows
-    of a key are compared bit-sliced; large groups of near copies by pivots, without all their pairs.
+    Two texts are linked when their sets of distinct shingles have this Jaccard similarity at least; component_id is
+    the smallest id that links reach. Candidates share the key of a table of sampled bits, and their 512-bit SimHashes
+    differ in no more bits than `differing` allows; their sets are then compared.
 
     Null and wordless texts are alike. Rows without an id link nothing, and get the component of rows with the
     same fingerprint. Equal fingerprints are one node from the start. No rows give no rows.
@@ -269,13 +305,17 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = np.stack([wide_fingerprint(t, size) for t in batch.column("text").to_pylist()]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), *(pa.array(words[:, i]) for i in range(WIDE))], names=["id", "tag", *cols])
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            words = np.stack([_wide(x) for x in sets]).view(np.int64)
+            shingles = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), *(pa.array(words[:, i]) for i in range(WIDE)), shingles], names=["id", "tag", *cols, "shingles"])
 
     tag = F.lit(None) if tag is None else tag
     rows = docs.select(F.col(id_col).alias("id"), tag.cast("string").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = written(rows.mapInArrow(made, f"id {kind}, tag string, {spec}").withColumn("hex", F.concat(*(F.lpad(F.hex(c), 16, "0") for c in cols))), "wide")
-    nodes = written(base.groupBy("hex", *cols).agg(F.min("id").cast("long").alias("id"), F.count("*").alias("size")), "nodes")
+    base = written(rows.mapInArrow(made, f"id {kind}, tag string, {spec}, shingles binary").withColumn("hex", F.concat(*(F.lpad(F.hex(c), 16, "0") for c in cols))), "wide")
+    # Nodes go by a hash of the fingerprint, as ids may be null or repeat with other texts.
+    nodes = written(base.groupBy("hex", *cols).agg(F.min("id").cast("long").alias("id"), F.count("*").alias("size")).withColumn("node", F.xxhash64("hex")), "nodes")
+    some = nodes.where("id is not null").select("node", *cols)
     total = nodes.count()
     radius = differing(similarity)
 
@@ -285,27 +325,25 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
                 own = batch.slice(at, 2000)
                 keys = wide_keys(np.stack([own.column(c).to_numpy() for c in cols], axis=1), total, similarity)
                 again = np.repeat(np.arange(own.num_rows), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(own.column(c).take(pa.array(again)) for c in ("id", *cols))], names=["key", "id", *cols])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(own.column(c).take(pa.array(again)) for c in ("node", *cols))], names=["key", "node", *cols])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * (2 + WIDE)
 
-        def linked(own: list[np.ndarray]) -> pa.RecordBatch:
+        def close(own: list[np.ndarray]) -> pa.RecordBatch:
             key, ids, words = own[0], own[1], np.stack(own[2:], axis=1).view(np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             lengths = np.diff(np.concatenate([starts, [len(key)]]))
-            least = np.arange(len(key))
+            out = [np.zeros((2, 0), np.int64)]
             low = 2
-            while low <= 512:  # runs of like lengths at once, so that few lanes of an offset are idle
+            while low <= lengths.max(initial=0):  # runs of like lengths at once, so that few lanes of an offset are idle
                 pick = np.repeat((lengths >= low) & (lengths < 2 * low), lengths)
                 if pick.any():
                     where = np.flatnonzero(pick)
-                    least[where] = where[join_runs(len(where), *close_pairs(words[where], key[where], radius))]
+                    out.append(ids[where[np.stack(close_pairs(words[where], key[where], radius))]])
                 low *= 2
-            for s, n in zip(starts[lengths >= 1024], lengths[lengths >= 1024], strict=True):
-                least[s : s + n] = s + large_run(words[s : s + n], radius)
-            moved = np.flatnonzero(least != np.arange(len(key)))
-            return pa.RecordBatch.from_arrays([pa.array(ids[least[moved]]), pa.array(ids[moved])], names=["a", "b"])
+            a, b = np.sort(np.concatenate(out, axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         waiting: list[list[np.ndarray]] = []
         for batch in batches:
@@ -316,13 +354,15 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
             waiting = []
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
-                yield linked([h[:last] for h in held])
+                yield close([h[:last] for h in held])
                 held = [h[last:] for h in held]
-        yield linked([np.concatenate(parts) for parts in zip(held, *waiting, strict=True)])
-
-    some = nodes.where("id is not null").select("id", *cols)
-    dealt = some.mapInArrow(keyed, f"key long, id long, {spec}").repartition("key").sortWithinPartitions("key", "id")
-    found = components(written(dealt.select("key", "id", *cols).mapInArrow(compared, "a long, b long"), "links"))
-    named = nodes.join(found, "id", "left").select("hex", "size", F.coalesce("component", "id").alias("component_id"))
+        yield close([np.concatenate(parts) for parts in zip(held, *waiting, strict=True)])
+
+    sets = base.join(nodes.select("hex", "node"), "hex").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = some.mapInArrow(keyed, f"key long, node long, {spec}").repartition("key").sortWithinPartitions("key", "node")
+    found = written(alike(dealt.select("key", "node", *cols).mapInArrow(compared, "a long, b long"), sets, similarity), "links")
+    grouped = nodes.join(components(found).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = grouped.join(least, "component").select("hex", "size", "component_id")
     out = spread_join(base.select("id", "tag", "hex"), written(named, "named"), "hex", "size", F.col("id"))
     return out.select(F.col("id").alias(id_col), "component_id", "tag")

@@ -161,3 +161,35 @@ def test_similar_groups(spark):
     found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r[0], r[1]) for r in found), key=repr) == sorted(((i, least[g]) for (i, _), g in zip(rows, group, strict=True)), key=repr)
     assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def jaccard_groups(rows, size=5, similarity=0.8):
+    """(id, the smallest id that links of this similarity reach), by brute force."""
+    words = [t.lower().split() for _, t in rows]
+    sets = [{" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in words]
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+    of = components_of(len(rows), pairs)
+    least = {}
+    for (i, _), g in zip(rows, of, strict=True):
+        least[g] = min(least.get(g, 10**9), i)
+    return sorted((i, least[g]) for (i, _), g in zip(rows, of, strict=True)), len(pairs)
+
+
+def test_similar_groups_jaccard(spark):
+    """Only pairs of similarity 0.8 and more are linked."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for n in range(60):
+        words = [word() for _ in range(200)]
+        changed = list(words)
+        for at in range(3 + n % 7):  # 5 of 196 shingles each: similarity 0.86 to 0.63
+            changed[10 + 20 * at] = word()
+        short = [word() for _ in range(8)]
+        texts += [words, changed, short, [*short, word()]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want, links = jaccard_groups(rows)
+    assert 60 < links < 110
+    found = sorted((r[0], r[1]) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    of = dict(want)
+    assert all(of[i] == of[component] for i, component in found) and sum(i != component for i, component in found) > links / 2
