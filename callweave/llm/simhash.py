@@ -249,19 +249,28 @@ def differing(similarity: float, slack: float = 7.7) -> int:
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
 
 
-def wide_keys(words: np.ndarray, nodes: int, similarity: float, missed: float = 0.05) -> np.ndarray:
-    """A key in each of some tables: so many of the fingerprint's bits that tables stay sparse for this number of nodes.
+#: Least hashes in a band: pairs of similarity s share one with the chance s ** BAND, whatever the number of documents.
+BAND = 5
 
-    There are so many tables that a pair somewhat above the similarity shares no key with the chance `missed` at most.
-    """
-    same = 1 - np.arccos(2 * (similarity + 0.02) / (1.02 + similarity)) / np.pi
-    k = max(14, int(np.ceil(np.log2(max(2, nodes)))) - 6)
-    tables = int(np.ceil(np.log(missed) / np.log(1 - same**k)))
+
+def bands(similarity: float, missed: float = 0.001) -> int:
+    """So many bands that a pair of this very similarity shares no key with the chance `missed` at most."""
+    return int(np.ceil(np.log(missed) / np.log(1 - similarity**BAND)))
+
+
+def band_keys(hashes: np.ndarray, tables: int) -> np.ndarray:
+    """A key in each band: of so many random orders of the set's hashes, the first of each. No hashes are a set like others."""
     rng = np.random.default_rng(11)
-    order = np.concatenate([rng.permutation(64 * WIDE) for _ in range(-(-tables * k // (64 * WIDE)) + 1)])
-    bits = np.unpackbits(np.ascontiguousarray(words.astype("<u8")).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-    weight = np.int64(1) << np.arange(k, dtype=np.int64)
-    return np.stack([bits[:, order[t * k : (t + 1) * k]] @ weight + (t << 40) for t in range(tables)], axis=1)
+    turn, factor = rng.integers(0, 2**64, (2, tables * BAND), np.uint64)
+    least = np.full(tables * BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        words = (hashes[at : at + 1024] ^ turn[:, None]) * (factor | np.uint64(1))[:, None]
+        least = np.minimum(least, (words ^ (words >> np.uint64(32))).min(axis=1))
+    keys = np.arange(tables, dtype=np.uint64)
+    for own in least.reshape(tables, BAND).T:
+        keys = (keys ^ own) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -293,8 +302,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     """(id, component_id, tag): documents grouped by the Jaccard similarity of their shingles.
 
     Two texts are linked when their sets of distinct shingles have this Jaccard similarity at least; component_id is
-    the smallest id that links reach. Candidates share the key of a table of sampled bits, and their 512-bit SimHashes
-    differ in no more bits than `differing` allows; their sets are then compared.
+    the smallest id that links reach. Candidates share a band of least hashes (see `bands`),
+    and their 512-bit SimHashes differ in no more bits than `differing` allows; their sets are then compared.
 
     Null and wordless texts are alike. Rows without an id link nothing, and get the component of rows with the
     same fingerprint. Equal fingerprints are one node from the start. No rows give no rows.
@@ -302,31 +311,23 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     cols = [f"w{i}" for i in range(WIDE)]
     spec = ", ".join(f"{c} long" for c in cols)
+    tables = bands(similarity)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             words = np.stack([_wide(x) for x in sets]).view(np.int64)
+            keys = pa.array([band_keys(x, tables) for x in sets], pa.list_(pa.int64()))
             shingles = pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), *(pa.array(words[:, i]) for i in range(WIDE)), shingles], names=["id", "tag", *cols, "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), *(pa.array(words[:, i]) for i in range(WIDE)), keys, shingles], names=["id", "tag", *cols, "keys", "shingles"])
 
     tag = F.lit(None) if tag is None else tag
     rows = docs.select(F.col(id_col).alias("id"), tag.cast("string").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = written(rows.mapInArrow(made, f"id {kind}, tag string, {spec}, shingles binary").withColumn("hex", F.concat(*(F.lpad(F.hex(c), 16, "0") for c in cols))), "wide")
+    base = written(rows.mapInArrow(made, f"id {kind}, tag string, {spec}, keys array<long>, shingles binary").withColumn("hex", F.concat(*(F.lpad(F.hex(c), 16, "0") for c in cols))), "wide")
     # Nodes go by a hash of the fingerprint, as ids may be null or repeat with other texts.
-    nodes = written(base.groupBy("hex", *cols).agg(F.min("id").cast("long").alias("id"), F.count("*").alias("size")).withColumn("node", F.xxhash64("hex")), "nodes")
-    some = nodes.where("id is not null").select("node", *cols)
-    total = nodes.count()
+    nodes = written(base.groupBy("hex", *cols).agg(F.min("id").cast("long").alias("id"), F.count("*").alias("size"), F.first("keys").alias("keys")).withColumn("node", F.xxhash64("hex")), "nodes")
     radius = differing(similarity)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                own = batch.slice(at, 2000)
-                keys = wide_keys(np.stack([own.column(c).to_numpy() for c in cols], axis=1), total, similarity)
-                again = np.repeat(np.arange(own.num_rows), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(own.column(c).take(pa.array(again)) for c in ("node", *cols))], names=["key", "node", *cols])
-
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * (2 + WIDE)
 
@@ -359,7 +360,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
         yield close([np.concatenate(parts) for parts in zip(held, *waiting, strict=True)])
 
     sets = base.join(nodes.select("hex", "node"), "hex").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    dealt = some.mapInArrow(keyed, f"key long, node long, {spec}").repartition("key").sortWithinPartitions("key", "node")
+    dealt = nodes.where("id is not null").select(F.explode("keys").alias("key"), "node", *cols).repartition("key").sortWithinPartitions("key", "node")
     found = written(alike(dealt.select("key", "node", *cols).mapInArrow(compared, "a long, b long"), sets, similarity), "links")
     grouped = nodes.join(components(found).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))

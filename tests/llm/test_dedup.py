@@ -193,3 +193,16 @@ def test_similar_groups_jaccard(spark):
     found = sorted((r[0], r[1]) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     of = dict(want)
     assert all(of[i] == of[component] for i, component in found) and sum(i != component for i, component in found) > links / 2
+    assert found == want  # a band misses one pair in a thousand at most
+
+
+def test_band_keys():
+    """Pairs of similarity 0.8 share a key, and keys don't depend on other documents."""
+    rng = np.random.default_rng(6)
+    tables = simhash.bands(0.8)
+    assert (1 - 0.8**simhash.BAND) ** tables <= 0.001
+    missed = 0
+    for n in range(1500):
+        both, own = rng.integers(0, 2**63, 4 * (1 + n % 20), np.uint64), rng.integers(0, 2**63, 1 + n % 20, np.uint64)
+        missed += not (simhash.band_keys(np.sort(both), tables) == simhash.band_keys(np.sort(np.concatenate([both, own])), tables)).any()
+    assert missed <= 6
