@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitslice import close_pairs, join_runs, large_run
+from .bitslice import close_pairs, join_runs
 from .common import BROADCAST_ROWS, slices, spread_join, written
 from .components import components
 
@@ -53,7 +53,7 @@ def fingerprint(text: str, size: int) -> int:
 
 
 #: Rows of whole keys that a task compares at once.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 15
 #: Words of a wide fingerprint, and odd constants that make each from a shingle's hash.
 WIDE = 8
 _TURNS = [(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(WIDE)]
@@ -249,6 +249,11 @@ def differing(similarity: float, slack: float = 7.7) -> int:
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
 
 
+#: Nodes that share a band key and are compared within a task; keys of more go to `hot_links`.
+MOST_IN_BAND = 64
+#: Rounds of pivots for those, and rows of a key that a task then holds.
+PIVOTS = 3
+SLICE = 2048
 #: Least hashes in a band: pairs of similarity s share one with the chance s ** BAND, whatever the number of documents.
 BAND = 5
 
@@ -276,34 +281,110 @@ def band_keys(hashes: np.ndarray, tables: int) -> np.ndarray:
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs of nodes whose sets of shingle hashes have this Jaccard similarity at least.
 
-    sets: (node, shingles), the hashes as sorted 64-bit words. A node in many pairs is broadcast to them.
+    sets: (node, shingles), the distinct hashes, any number of rows for a node. A node in many pairs is broadcast to them.
     """
     pairs = written(pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct(), "pairs")
     degrees = written(pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("degree")), "degrees")
     few = degrees.count() <= BROADCAST_ROWS
-    own = written(sets.withColumn("k", F.col("node").cast("string")).join(F.broadcast(degrees) if few else degrees, "k").select("k", "degree", "shingles"), "sets")
+    own = sets.withColumn("k", F.col("node").cast("string")).join(F.broadcast(degrees) if few else degrees, "k")
+    own = written(own.groupBy("k").agg(F.first("degree").alias("degree"), F.first("shingles").alias("shingles")), "sets")
     found = pairs
     for end, other in (("a", "b"), ("b", "a")):
         found = spread_join(found, own.select(F.col("k").alias(end), F.col("degree").alias(f"n_{end}"), F.col("shingles").alias(f"set_{end}")), end, f"n_{end}", F.col(other))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("set_a", "set_b"))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+    sized = found.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    near = sized.where(F.col("both") >= similarity * (F.col("sizes") - F.col("both")) - 1e-9)
+    return near.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
 
-    return found.select("a", "b", "set_a", "set_b").mapInArrow(run, "a string, b string").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes with the component that the links found so far give each, itself if none."""
+    own = components(found).withColumnRenamed("id", "node")
+    return nodes.drop("component").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFrame, similarity: float, rounds: int = PIVOTS, part: int = SLICE) -> DataFrame:
+    """Links, those found already included, that connect what all pairs of the similarity that share a hot key connect.
+
+    hot: (key, node, w0, ...), the rows of keys that many nodes share; nodes: (node, w0, ...). In a round each key's rows are held
+    against one pivot, which joins most of a group of near copies at a comparison each. What the rounds leave apart from
+    a key's largest component is then compared with every row of the key in another component, in slices of a
+    key's rows dealt to as many tasks; a row's component only grows, so pairs inside one need no comparison.
+    """
+    cols, radius = [c for c in nodes.columns if c.startswith("w")], differing(similarity)
+    spec = ", ".join(f"{c} long" for c in cols)
+
+    def parted(rows: DataFrame) -> DataFrame:
+        """Rows of each key that aren't in its largest component; counted by key and component, then by key."""
+        each = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+        main = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
+        main = written(main.where("parts > 1").select(F.col("key").cast("string").alias("k"), "main", "size"), "main")
+        return spread_join(rows.withColumn("k", F.col("key").cast("string")), main, "k", "size", F.col("node")).where("main is not null")
+
+    def with_component(rows: DataFrame) -> DataFrame:
+        return written(rows.join(_labelled(nodes.select("node"), found), "node"), "hot-rows")
+
+    rows = with_component(hot)
+    for turn in range(rounds):
+        apart = written(parted(rows), "apart")
+        # The first pivot is the node of the least hash, the same in most keys of a group; later ones come from what is apart.
+        order = F.xxhash64("node", F.lit(turn))
+        pivots = apart.where("component <> main" if turn else "true").groupBy("k").agg(F.min(F.struct(order.alias("o"), "node", "component", *cols)).alias("p"), F.count("*").alias("size"))
+        sizes = apart.groupBy("k").agg(F.count("*").alias("all_rows"))
+        pivots = written(pivots.drop("size").join(sizes, "k").withColumnRenamed("all_rows", "n"), "pivots")
+        if not pivots.head(1):
+            break
+        met = spread_join(apart.select("k", "node", "component", *cols), pivots, "k", "n", F.col("node"))
+        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in cols), F.lit(0))
+        pairs = met.where("component <> p.component").where(bits <= radius).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+        found = written(found.unionByName(alike(pairs, sets, similarity)), "links")
+        rows = with_component(hot)
+
+    apart = written(parted(rows), "apart")
+    slices_of = F.ceil(F.col("size") / part).cast("int")
+    mine = apart.select("k", F.pmod(F.xxhash64("node"), slices_of).cast("int").alias("slice"), F.lit(False).alias("probe"), "component", "node", *cols)
+    probe = apart.where("component <> main").select("k", F.explode(F.sequence(F.lit(0), slices_of - 1)).alias("slice"), F.lit(True).alias("probe"), "component", "node", *cols)
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members = None, []  # a slice's rows, at most about `part`, come before the rows that look for links in it
+
+        for batch in batches:
+            key = list(zip(batch.column("k").to_pylist(), batch.column("slice").to_pylist(), strict=True))
+            probing = batch.column("probe").to_numpy(zero_copy_only=False)
+            component, node = batch.column("component").to_numpy(), batch.column("node").to_numpy()
+            words = np.stack([batch.column(c).to_numpy() for c in cols], axis=1).view(np.uint64)
+            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1] or probing[i] != probing[i - 1]), len(key)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if key[s] != group:
+                    group, members = key[s], []
+                if not probing[s]:
+                    members.append((component[s:e], node[s:e], words[s:e]))
+                    continue
+                held = [np.concatenate(x) for x in zip(*members, strict=True)] if members else None
+                members = [tuple(held)] if members else []
+                for at in range(s, e if held else s, 64):
+                    to = min(at + 64, e)
+                    bits = np.zeros((to - at, len(held[1])), np.uint16)
+                    for w in range(len(cols)):
+                        bits += np.bitwise_count(words[at:to, w, None] ^ held[2][None, :, w])
+                    i, j = np.nonzero((bits <= radius) & (component[at:to, None] != held[0][None, :]))
+                    a, b = np.sort(np.stack([node[at:to][i], held[1][j]]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = mine.unionByName(probe).repartition("k", "slice").sortWithinPartitions("k", "slice", "probe")
+    pairs = dealt.select("k", "slice", "probe", "component", "node", *cols).mapInArrow(crossed, "a long, b long")
+    return found.unionByName(alike(pairs, sets, similarity))
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None, most: int = MOST_IN_BAND) -> DataFrame:
     """(id, component_id, tag): documents grouped by the Jaccard similarity of their shingles.
 
     Two texts are linked when their sets of distinct shingles have this Jaccard similarity at least; component_id is
     the smallest id that links reach. Candidates share a band of least hashes (see `bands`),
     and their 512-bit SimHashes differ in no more bits than `differing` allows; their sets are then compared.
+    Keys of more than `most` nodes, at most 18 / `most` of all nodes in number, go to `hot_links`.
 
     Null and wordless texts are alike. Rows without an id link nothing, and get the component of rows with the
     same fingerprint. Equal fingerprints are one node from the start. No rows give no rows.
@@ -318,12 +399,12 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             words = np.stack([_wide(x) for x in sets]).view(np.int64)
             keys = pa.array([band_keys(x, tables) for x in sets], pa.list_(pa.int64()))
-            shingles = pa.array([x.tobytes() for x in sets], pa.binary())
+            shingles = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), *(pa.array(words[:, i]) for i in range(WIDE)), keys, shingles], names=["id", "tag", *cols, "keys", "shingles"])
 
     tag = F.lit(None) if tag is None else tag
     rows = docs.select(F.col(id_col).alias("id"), tag.cast("string").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = written(rows.mapInArrow(made, f"id {kind}, tag string, {spec}, keys array<long>, shingles binary").withColumn("hex", F.concat(*(F.lpad(F.hex(c), 16, "0") for c in cols))), "wide")
+    base = written(rows.mapInArrow(made, f"id {kind}, tag string, {spec}, keys array<long>, shingles array<long>").withColumn("hex", F.concat(*(F.lpad(F.hex(c), 16, "0") for c in cols))), "wide")
     # Nodes go by a hash of the fingerprint, as ids may be null or repeat with other texts.
     nodes = written(base.groupBy("hex", *cols).agg(F.min("id").cast("long").alias("id"), F.count("*").alias("size"), F.first("keys").alias("keys")).withColumn("node", F.xxhash64("hex")), "nodes")
     radius = differing(similarity)
@@ -359,10 +440,16 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
                 held = [h[last:] for h in held]
         yield close([np.concatenate(parts) for parts in zip(held, *waiting, strict=True)])
 
-    sets = base.join(nodes.select("hex", "node"), "hex").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    dealt = nodes.where("id is not null").select(F.explode("keys").alias("key"), "node", *cols).repartition("key").sortWithinPartitions("key", "node")
+    sets = base.select(F.xxhash64("hex").alias("node"), "shingles")
+    some = nodes.where("id is not null").select("node", *cols)
+    keyed = nodes.where("id is not null").select(F.explode("keys").alias("key"), "node", *cols)
+    often = written(keyed.groupBy("key").count().where(F.col("count") > most).select("key"), "hot-keys")
+    dealt = keyed.join(F.broadcast(often), "key", "left_anti").repartition("key").sortWithinPartitions("key", "node")
     found = written(alike(dealt.select("key", "node", *cols).mapInArrow(compared, "a long, b long"), sets, similarity), "links")
-    grouped = nodes.join(components(found).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if often.head(1):
+        hot = written(keyed.join(F.broadcast(often), "key"), "hot")
+        found = written(hot_links(hot, some, sets, found, similarity), "links")
+    grouped = _labelled(nodes, found)
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     named = grouped.join(least, "component").select("hex", "size", "component_id")
     out = spread_join(base.select("id", "tag", "hex"), written(named, "named"), "hex", "size", F.col("id"))

@@ -206,3 +206,21 @@ def test_band_keys():
         both, own = rng.integers(0, 2**63, 4 * (1 + n % 20), np.uint64), rng.integers(0, 2**63, 1 + n % 20, np.uint64)
         missed += not (simhash.band_keys(np.sort(both), tables) == simhash.band_keys(np.sort(np.concatenate([both, own])), tables)).any()
     assert missed <= 6
+
+
+def test_similar_groups_hot(spark, monkeypatch):
+    """Keys of many rows give the groups of all pairs, and no task compares a whole key."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(120)], []
+    for n in range(140):
+        own = list(base)
+        for at in rng.sample(range(120), n % 7):
+            own[at] = word()
+        rows.append((n * 7 % 997, " ".join(own)))
+    want, _ = jaccard_groups(rows)
+    assert 1 < len({g for _, g in want}) < 100
+    seen, plain = [], simhash.hot_links
+    monkeypatch.setattr(simhash, "hot_links", lambda hot, *a: (seen.append(hot.groupBy("key").count().agg(F.max("count")).first()[0]), plain(hot, *a, rounds=1, part=16))[1])
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), most=8)
+    assert sorted((r[0], r[1]) for r in found.collect()) == want and seen[0] > 30
