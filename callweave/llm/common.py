@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at a time inside a Python task; bounds a task's memory.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _shipped: set[str] = set()
 
@@ -37,12 +37,15 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary folder is set as the checkpoint folder.
+    Only where that is unset and Spark runs on one machine (tests) a temporary folder is set as the checkpoint folder;
+    on a cluster that is an error, as its machines share no such folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get()
@@ -56,6 +59,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(docs: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions for a shuffle of all of docs: of `each` bytes by Spark's own estimate of its size, and as many as the session asks for at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 20))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches that hold at most about `most` bytes of text (one row at least)."""
     import numpy as np
