@@ -14,9 +14,7 @@ from .common import slices
 from .subwords import encoder
 
 #: Ids held by a task before what it has is packed; bounds a task's memory.
-WINDOW_IDS = 4 << 20
-#: Words whose ids a task remembers; fewer than elsewhere, as the window needs memory too.
-KEPT_WORDS = 450_000
+WINDOW_IDS = 2 << 20
 
 
 def fill(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -67,12 +65,13 @@ def bins(lengths: np.ndarray, capacity: int) -> tuple[list[list[int]], list[int]
             counts[n] = len(held[n])
 
 
-def layout(lengths: np.ndarray, capacity: int, final: bool) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]], int]:
+def layout(lengths: np.ndarray, capacity: int, final: bool, most_left: int = WINDOW_IDS // 4) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]], int]:
     """Pieces (item, start, length, sequence, offset), what is left over as (item, start), and the sequences made.
 
     Whole windows are cut from the front of long items; the remainders go into exactly full bins.
-    What no multiset fills is laid end to end and cut at the capacity; at the end (final) the last of
-    it becomes sequences of lengths that are powers of two, which need no padding.
+    What no multiset fills waits for more items, unless it is over most_left ids; then it is laid end to end and cut at the capacity,
+    and less than one window waits. At the end (final) the last of it becomes sequences of lengths that are powers of
+    two, which need no padding.
     """
     pieces, seq = [], 0
     for i in np.flatnonzero(lengths >= capacity).tolist():
@@ -90,19 +89,22 @@ def layout(lengths: np.ndarray, capacity: int, final: bool) -> tuple[list[tuple[
             at += int(rest[i])
         seq += 1
     loose = [(int(item[j]), int(lengths[item[j]] - rest[item[j]])) for j in left]
-    if not final:
-        return pieces, loose, seq
     total = sum(int(lengths[i]) - s for i, s in loose)
-    sizes = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length(), -1, -1) if (total % capacity) >> b & 1]
-    at, room = 0, sizes.pop(0) if sizes else 0
+    if not final and total <= most_left:
+        return pieces, loose, seq
+    sizes = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length(), -1, -1) if final and (total % capacity) >> b & 1]
+    sizes.reverse()
+    at, room, waiting = 0, sizes.pop() if sizes else 0, []
     for i, s in loose:
-        while s < lengths[i]:
+        while room and s < lengths[i]:
             take = min(room, int(lengths[i]) - s)
             pieces.append((i, s, take, seq, at))
             s, at, room = s + take, at + take, room - take
             if not room:
-                seq, at, room = seq + 1, 0, sizes.pop(0) if sizes else 0
-    return pieces, [], seq
+                seq, at, room = seq + 1, 0, sizes.pop() if sizes else 0
+        if s < lengths[i]:
+            waiting.append((i, s))
+    return pieces, waiting, seq
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | None = 1, mark: str = " \x01 ", id_col: str = "doc_id", text_col: str = "text", window_ids: int = WINDOW_IDS, with_ids: bool = False) -> DataFrame:
@@ -113,8 +115,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | N
     without an end id it has no piece. Null and repeated ids are rows like others, no rows give no
     pieces, other columns are dropped.
 
-    Each partition packs what it holds, window by window, without a shuffle; unfilled remainders move
-    on to the partition's next window. Sequences are numbered by partition, so a task that runs again
+    Each partition packs what it holds, window by window, without a shuffle; unfilled remainders, a quarter of a window
+    at most, move on to the partition's next window. Sequences are numbered by partition, so a task that runs again
     makes the same rows.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -123,7 +125,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | N
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        made = encoder(vocabulary, mark=mark, keep=KEPT_WORDS)
+        made = encoder(vocabulary, mark=mark)
         names: list = []  # of the items in the window, with their ids, what is done of them, and length
         ids: list[np.ndarray] = []
         done: list[int] = []
@@ -132,7 +134,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | N
 
         def flush(final: bool) -> pa.RecordBatch:
             nonlocal names, ids, done, whole, held, seq
-            pieces, loose, used = layout(np.array([len(x) for x in ids], np.int64), capacity, final)
+            pieces, loose, used = layout(np.array([len(x) for x in ids], np.int64), capacity, final, window_ids // 4)
             cols: list[list] = [[] for _ in range(8)]
             for i, s, n, q, at in pieces:
                 own = ids[i][s : s + n]
