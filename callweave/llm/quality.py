@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, spread_join, written
-from .labelled import examples, logistic
+from .labelled import examples, fold, logistic
 
 #: Training documents of each label; bounds what the driver holds.
 PER_CLASS = 4000
@@ -71,9 +71,9 @@ def train(texts: Sequence[str], labels: Sequence[int], prior: float = 0.5) -> Cl
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """A classifier of a bounded sample of labelled documents outside fold 0; the labels' own share is its prior."""
+    """A classifier of a bounded sample of labelled documents outside fold 0; the share of good ones among all labels outside fold 0 is its prior."""
     found = examples(docs, labels, label, per_class, id_col, text_col)
-    share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    share = labels.where(F.col(label).isin(0, 1) & (fold(id_col) != 0)).agg(F.avg(F.col(label).cast("double"))).first()[0]
     prior = min(0.999, max(0.001, 0.5 if share is None else share))
     return train(found.column("text").to_pylist(), found.column("label").to_pylist(), prior)
 

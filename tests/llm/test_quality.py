@@ -47,5 +47,44 @@ def test_posteriors(spark, broadcast, monkeypatch):
     assert quality.judge(docs.where("false"), made, F.col("host"), F.col("path")).count() == 0
 
 
+def brute(rows, p, logits, strength_host, strength_path):
+    """Posteriors by loops: a host around all documents, a path around its host, a document around its path's other documents."""
+    mean = lambda own, m, around: (sum(own) + m * around) / (len(own) + m)
+    overall = (sum(p) + 1) / (len(p) + 2)
+    out = []
+    for i, r in enumerate(rows):
+        host = mean([p[j] for j, s in enumerate(rows) if s[2] == r[2]], strength_host, overall)
+        own = [p[j] for j, s in enumerate(rows) if s[2:] == r[2:]]
+        others = mean([p[j] for j, s in enumerate(rows) if s[2:] == r[2:] and j != i], strength_path, host)
+        others = min(0.999, max(0.001, others))
+        out.append((p[i], host, mean(own, strength_path, host), 1 / (1 + np.exp(-(logits[i] + np.log(others / (1 - others)))))))
+    return out
+
+
+def test_formulas(spark, monkeypatch):
+    """All four figures of every document, by loops."""
+    strengths = []
+    of = quality._strength
+    monkeypatch.setattr(quality, "_strength", lambda *a: strengths.append(of(*a)) or strengths[-1])
+    made, good, bad = model(spark)
+    made.prior = 0.7
+    rows = [(i, (good if i % 3 else bad)[i % 100], "abcd"[i % 4] if i % 10 else None, "xyz"[i % 3]) for i in range(150)] + [(150, None, "e", None), (151, "", "e", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    found = {r["doc_id"]: r for r in quality.judge(docs, made, F.col("host"), F.col("path")).select("row.doc_id", "doc_score", "host_quality", "path_quality", "score", "kept").collect()}
+    logits = made.logits([r[1] or "" for r in rows])
+    p = 1 / (1 + np.exp(-(logits + np.log(0.7 / 0.3))))
+    for i, want in enumerate(brute(rows, p.tolist(), logits.tolist(), *strengths)):
+        got = found[i]
+        assert (got["doc_score"], got["host_quality"], got["path_quality"], got["score"]) == pytest.approx(want, abs=1e-9)
+        assert got["kept"] == (got["score"] >= 0.5)
+
+
+def test_prior_leaves_out_fold_0(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    labels = docs.select("doc_id", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, 1).otherwise((F.col("doc_id") % 4 == 0).cast("int")).alias("quality"))
+    rest = [r["quality"] for r in labels.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) <> 0").collect()]
+    assert quality.fit(docs, labels).prior == pytest.approx(np.mean(rest))
+
+
 def test_no_labels():
     assert quality.train(["a"], [1]).logits(["a", ""]).tolist() == [0.0, 0.0]
