@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,14 +83,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BA
             at = to
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, hot: int = 256) -> DataFrame:
+#: Bytes of keys that spread_join broadcasts at most.
+BROADCAST_BYTES = 64 << 20
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, hot: int | None = None) -> DataFrame:
     """rows left-joined with groups (one row for each key), where a few keys may hold most of the rows.
 
     size names the column of groups with the number of rows of a key; key is a string column. Keys with
-    at least one in `hot` of all counted rows are `hot` at most, so those are broadcast; the others are
-    shuffled. Rows that are matched by then are dealt out by the column spread instead of their key.
+    at least one in `hot` of all counted rows (by default the session's shuffle partitions, 256 at least) are `hot` at most, so
+    those are broadcast, unless keys are so long that they could pass BROADCAST_BYTES; the others are shuffled. Rows that are
+    matched by then are dealt out by the column spread instead of their key.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = hot or max(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total, longest = groups.agg(F.sum(size), F.max(F.octet_length(key))).first()
+    if hot * (longest or 0) > BROADCAST_BYTES:
+        return rows.join(groups, key, "left")
+    total = total or 0
     own = [c for c in groups.columns if c != key]
     often = groups.select(key, *(F.col(c).alias(f"_hot_{c}") for c in own), F.lit(True).alias("_hot")).where(F.col(f"_hot_{size}") * hot >= total)
     rest = groups.where(F.col(size) * hot < total).select(F.col(key).alias("_key"), *own)
@@ -104,13 +113,24 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
 BROADCAST_ROWS = 200_000
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A key of a row's id and text, also where the id is null or repeats."""
-    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.lit(":"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+def row_key(id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> Column:
+    """A key of a row's id, text and further columns, also where they are null or the id repeats."""
+    rest = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~")) for c in more]
+    parts = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256), *([F.sha2(F.to_json(F.array(*rest)), 256)] if rest else [])]
+    return F.concat_ws(":", *parts)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have (names differ in more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "key") -> DataFrame:
-    """docs without the rows whose row_key is in dropped. A checked small number of keys is broadcast, so that texts stay where they are."""
-    dropped = written(dropped.select(F.col(key).alias("_drop")).distinct(), "dropped")
+def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows whose key is in dropped, a table of one column. A checked small number of keys is broadcast, so that texts stay where they are."""
+    name = free_name(docs, "drop")
+    dropped = written(dropped.toDF(name).distinct(), "dropped")
     few = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if few else dropped, row_key() == F.col("_drop"), "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped, key == F.col(name), "left_anti")

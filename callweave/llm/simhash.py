@@ -379,15 +379,16 @@ def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None, most: int = MOST_IN_BAND) -> DataFrame:
-    """(id, component_id, tag): documents grouped by the Jaccard similarity of their shingles.
+    """(id, component_id, tag, kept): documents grouped by the Jaccard similarity of their shingles.
 
     Two texts are linked when their sets of distinct shingles have this Jaccard similarity at least; component_id is
-    the smallest id that links reach. Candidates share a band of least hashes (see `bands`),
-    and their 512-bit SimHashes differ in no more bits than `differing` allows; their sets are then compared.
-    Keys of more than `most` nodes, at most 18 / `most` of all nodes in number, go to `hot_links`.
+    the smallest id that links reach, kept says whether the row has that id and, where it repeats, its least tag. Candidates share a
+    band of least hashes (see `bands`), and their 512-bit SimHashes differ in no more bits than `differing` allows; their sets are
+    then compared. Keys of more than `most` nodes, at most 18 / `most` of all nodes in number, go to `hot_links`.
 
-    Null and wordless texts are alike. Rows without an id link nothing, and get the component of rows with the
-    same fingerprint. Equal fingerprints are one node from the start. No rows give no rows.
+    Null and wordless texts are alike. Rows without an id are linked like others and come after all with one; component_id is
+    null if no row of a group has one. Equal sets are one node from the start; rows of equal id and tag are kept or
+    not together. No rows give no rows.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     cols = [f"w{i}" for i in range(WIDE)]
@@ -395,18 +396,21 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     tables = bands(similarity)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in slices(batches):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             words = np.stack([_wide(x) for x in sets]).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(x, tables) for x in sets], pa.list_(pa.int64()))
             shingles = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), *(pa.array(words[:, i]) for i in range(WIDE)), keys, shingles], names=["id", "tag", *cols, "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(node), *(pa.array(words[:, i]) for i in range(WIDE)), keys, shingles], names=["id", "tag", "node", *cols, "keys", "shingles"])
 
     tag = F.lit(None) if tag is None else tag
     rows = docs.select(F.col(id_col).alias("id"), tag.cast("string").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = written(rows.mapInArrow(made, f"id {kind}, tag string, {spec}, keys array<long>, shingles array<long>").withColumn("hex", F.concat(*(F.lpad(F.hex(c), 16, "0") for c in cols))), "wide")
-    # Nodes go by a hash of the fingerprint, as ids may be null or repeat with other texts.
-    nodes = written(base.groupBy("hex", *cols).agg(F.min("id").cast("long").alias("id"), F.count("*").alias("size"), F.first("keys").alias("keys")).withColumn("node", F.xxhash64("hex")), "nodes")
+    base = written(rows.mapInArrow(made, f"id {kind}, tag string, node long, {spec}, keys array<long>, shingles array<long>"), "wide")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))
+    nodes = written(base.groupBy("node").agg(*(F.first(c).alias(c) for c in (*cols, "keys")), least.alias("least"), F.count("*").alias("size")), "nodes")
     radius = differing(similarity)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,17 +444,19 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
                 held = [h[last:] for h in held]
         yield close([np.concatenate(parts) for parts in zip(held, *waiting, strict=True)])
 
-    sets = base.select(F.xxhash64("hex").alias("node"), "shingles")
-    some = nodes.where("id is not null").select("node", *cols)
-    keyed = nodes.where("id is not null").select(F.explode("keys").alias("key"), "node", *cols)
+    sets = base.select("node", "shingles")
+    some = nodes.select("node", *cols)
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", *cols)
     often = written(keyed.groupBy("key").count().where(F.col("count") > most).select("key"), "hot-keys")
-    dealt = keyed.join(F.broadcast(often), "key", "left_anti").repartition("key").sortWithinPartitions("key", "node")
+    few = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    dealt = keyed.join(few, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node")
     found = written(alike(dealt.select("key", "node", *cols).mapInArrow(compared, "a long, b long"), sets, similarity), "links")
     if often.head(1):
-        hot = written(keyed.join(F.broadcast(often), "key"), "hot")
+        hot = written(keyed.join(few, "key"), "hot")
         found = written(hot_links(hot, some, sets, found, similarity), "links")
-    grouped = _labelled(nodes, found)
-    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = grouped.join(least, "component").select("hex", "size", "component_id")
-    out = spread_join(base.select("id", "tag", "hex"), written(named, "named"), "hex", "size", F.col("id"))
-    return out.select(F.col("id").alias(id_col), "component_id", "tag")
+    grouped = _labelled(nodes.select("node", "least", "size"), found)
+    best = grouped.groupBy("component").agg(F.min("least").alias("best"))
+    named = grouped.join(best, "component").select(F.col("node").cast("string").alias("k"), "size", "best")
+    out = spread_join(base.select("id", "tag", F.col("node").cast("string").alias("k")), written(named, "named"), "k", "size", F.col("tag"))
+    kept = F.col("id").eqNullSafe(F.col("best.id")) & F.col("tag").eqNullSafe(F.col("best.tag"))
+    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"), "tag", kept.alias("kept"))

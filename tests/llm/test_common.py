@@ -39,7 +39,7 @@ def test_without(spark, few, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", few)
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (2, None), (3, "")], "doc_id long, text string")
     dropped = docs.where("doc_id = 1 and text = 'a' or doc_id is null or doc_id = 3").select(common.row_key().alias("key"))
-    assert sorted(map(tuple, common.without(docs, dropped).collect())) == [(1, "b"), (2, None)]
+    assert sorted(map(tuple, common.without(docs, dropped, common.row_key()).collect())) == [(1, "b"), (2, None)]
 
 
 def test_ship(spark, monkeypatch):
