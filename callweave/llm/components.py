@@ -14,7 +14,7 @@ def _nearest(links: DataFrame) -> DataFrame:
     The least is found by grouping with map-side combining and joined back with hot nodes broadcast, so
     a node with a large share of the links doesn't land in one task.
     """
-    links = written(links.withColumn("k", F.col("u").cast("string")), "links")
+    links = links.withColumn("k", F.col("u").cast("string"))
     least = links.groupBy("k").agg(F.least(F.min("u"), F.min("v")).alias("least"), F.count("*").alias("degree"))
     return spread_join(links, written(least, "least"), "k", "degree", F.col("v")).select("u", "v", "least")
 
@@ -37,6 +37,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         state = tuple(size)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         links = _nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+        links = written(links, "links")
         near = _nearest(links)
         moved = near.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         links = written(moved.unionByName(near.select("u", F.col("least").alias("v"))).where("u <> v").distinct(), "links")

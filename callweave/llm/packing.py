@@ -15,6 +15,8 @@ from .subwords import encoder
 
 #: Ids held by a task before what it has is packed; bounds a task's memory.
 WINDOW_IDS = 2 << 20
+#: Bytes of words that a task remembers; fewer than elsewhere, as the window needs memory too.
+TABLE_BYTES = 48 << 20
 
 
 def fill(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -125,7 +127,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | N
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        made = encoder(vocabulary, mark=mark)
+        made = encoder(vocabulary, mark=mark, most=TABLE_BYTES)
         names: list = []  # of the items in the window, with their ids, what is done of them, and length
         ids: list[np.ndarray] = []
         done: list[int] = []

@@ -322,7 +322,12 @@ def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
         return spread_join(rows.withColumn("k", F.col("key").cast("string")), main, "k", "size", F.col("node")).where("main is not null")
 
     def with_component(rows: DataFrame) -> DataFrame:
-        return written(rows.join(_labelled(nodes.select("node"), found), "node"), "hot-rows")
+        """rows with their components; the links found so far become the components' stars, so that the next rounds start from those."""
+        nonlocal found
+        own = written(components(found), "components")
+        found = own.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        labelled = nodes.select("node").join(own.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return written(rows.join(labelled, "node"), "hot-rows")
 
     rows = with_component(hot)
     for turn in range(rounds):
