@@ -254,6 +254,8 @@ MOST_IN_BAND = 64
 #: Rounds of pivots for those, and rows of a key that a task then holds.
 PIVOTS = 3
 SLICE = 2048
+#: Pairs of a row with each other component in a slice that are compared first.
+NEAREST = 2
 #: Least hashes in a band: pairs of similarity s share one with the chance s ** BAND, whatever the number of documents.
 BAND = 5
 
@@ -281,7 +283,8 @@ def band_keys(hashes: np.ndarray, tables: int) -> np.ndarray:
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs of nodes whose sets of shingle hashes have this Jaccard similarity at least.
 
-    sets: (node, shingles), the distinct hashes, any number of rows for a node. A node in many pairs is broadcast to them.
+    sets: (node, shingles), the upper halves of the distinct hashes, any number of rows for a node; two of n shingles share
+    one with a chance of n * n / 2 ** 33, which moves the similarity by less than 1 / n. A node in many pairs is broadcast to them.
     """
     pairs = written(pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct(), "pairs")
     degrees = written(pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("degree")), "degrees")
@@ -309,7 +312,7 @@ def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
     hot: (key, node, w0, ...), the rows of keys that many nodes share; nodes: (node, w0, ...). In a round each key's rows are held
     against one pivot, which joins most of a group of near copies at a comparison each. What the rounds leave apart from
     a key's largest component is then compared with every row of the key in another component, in slices of a
-    key's rows dealt to as many tasks; a row's component only grows, so pairs inside one need no comparison.
+    key's rows dealt to as many tasks, first by its nearest pairs and, where those joined nothing, by all; a row's component only grows, so pairs inside one need no comparison.
     """
     cols, radius = [c for c in nodes.columns if c.startswith("w")], differing(similarity)
     spec = ", ".join(f"{c} long" for c in cols)
@@ -345,42 +348,59 @@ def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
         found = written(found.unionByName(alike(pairs, sets, similarity)), "links")
         rows = with_component(hot)
 
-    apart = written(parted(rows), "apart")
-    slices_of = F.ceil(F.col("size") / part).cast("int")
-    mine = apart.select("k", F.pmod(F.xxhash64("node"), slices_of).cast("int").alias("slice"), F.lit(False).alias("probe"), "component", "node", *cols)
-    probe = apart.where("component <> main").select("k", F.explode(F.sequence(F.lit(0), slices_of - 1)).alias("slice"), F.lit(True).alias("probe"), "component", "node", *cols)
-
-    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, members = None, []  # a slice's rows, at most about `part`, come before the rows that look for links in it
-
-        for batch in batches:
-            key = list(zip(batch.column("k").to_pylist(), batch.column("slice").to_pylist(), strict=True))
-            probing = batch.column("probe").to_numpy(zero_copy_only=False)
-            component, node = batch.column("component").to_numpy(), batch.column("node").to_numpy()
-            words = np.stack([batch.column(c).to_numpy() for c in cols], axis=1).view(np.uint64)
-            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1] or probing[i] != probing[i - 1]), len(key)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                if key[s] != group:
-                    group, members = key[s], []
-                if not probing[s]:
-                    members.append((component[s:e], node[s:e], words[s:e]))
-                    continue
-                held = [np.concatenate(x) for x in zip(*members, strict=True)] if members else None
-                members = [tuple(held)] if members else []
-                for at in range(s, e if held else s, 64):
-                    to = min(at + 64, e)
-                    bits = np.zeros((to - at, len(held[1])), np.uint16)
-                    for w in range(len(cols)):
-                        bits += np.bitwise_count(words[at:to, w, None] ^ held[2][None, :, w])
-                    i, j = np.nonzero((bits <= radius) & (component[at:to, None] != held[0][None, :]))
-                    a, b = np.sort(np.stack([node[at:to][i], held[1][j]]), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    dealt = mine.unionByName(probe).repartition("k", "slice").sortWithinPartitions("k", "slice", "probe")
-    pairs = dealt.select("k", "slice", "probe", "component", "node", *cols).mapInArrow(crossed, "a long, b long")
-    return found.unionByName(alike(pairs, sets, similarity))
+    def crossed(nearest: int | None):
+        """A probe's pairs with the members of its slices in other components: all that are bit-close, or for each component the nearest ones."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, members = None, []  # a slice's rows, at most about `part`, come before the rows that look for links in it
+
+            for batch in batches:
+                key = list(zip(batch.column("k").to_pylist(), batch.column("slice").to_pylist(), strict=True))
+                probing = batch.column("probe").to_numpy(zero_copy_only=False)
+                component, node = batch.column("component").to_numpy(), batch.column("node").to_numpy()
+                words = np.stack([batch.column(c).to_numpy() for c in cols], axis=1).view(np.uint64)
+                cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1] or probing[i] != probing[i - 1]), len(key)]
+                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    if s == e:
+                        continue
+                    if key[s] != group:
+                        group, members = key[s], []
+                    if not probing[s]:
+                        members.append((component[s:e], node[s:e], words[s:e]))
+                        continue
+                    held = [np.concatenate(x) for x in zip(*members, strict=True)] if members else None
+                    members = [tuple(held)] if members else []
+                    for at in range(s, e if held else s, 64):
+                        to = min(at + 64, e)
+                        bits = np.zeros((to - at, len(held[1])), np.uint16)
+                        for w in range(len(cols)):
+                            bits += np.bitwise_count(words[at:to, w, None] ^ held[2][None, :, w])
+                        i, j = np.nonzero((bits <= radius) & (component[at:to, None] != held[0][None, :]))
+                        if nearest and len(i):
+                            order = np.lexsort((bits[i, j], held[0][j], i))
+                            i, j = i[order], j[order]
+                            start = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (held[0][j[1:]] != held[0][j[:-1]])]))
+                            place = np.arange(len(i)) - np.repeat(start, np.diff(np.concatenate([start, [len(i)]])))
+                            i, j = i[place < nearest], j[place < nearest]
+                        a, b = np.sort(np.stack([node[at:to][i], held[1][j]]), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        return run
+
+    # The nearest pairs first: they join most of what belongs together, so that few rows are left for all pairs.
+    for nearest in (NEAREST, None):
+        apart = written(parted(rows), "apart")
+        if apart.isEmpty():
+            return found
+        slices_of = F.ceil(F.col("size") / part).cast("int")
+        mine = apart.select("k", F.pmod(F.xxhash64("node"), slices_of).cast("int").alias("slice"), F.lit(False).alias("probe"), "component", "node", *cols)
+        probe = apart.where("component <> main").select("k", F.explode(F.sequence(F.lit(0), slices_of - 1)).alias("slice"), F.lit(True).alias("probe"), "component", "node", *cols)
+        dealt = mine.unionByName(probe).repartition("k", "slice").sortWithinPartitions("k", "slice", "probe")
+        pairs = dealt.select("k", "slice", "probe", "component", "node", *cols).mapInArrow(crossed(nearest), "a long, b long")
+        found = written(found.unionByName(alike(pairs, sets, similarity)), "links")
+        if nearest:
+            rows = with_component(hot)
+    return found
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None, most: int = MOST_IN_BAND) -> DataFrame:
@@ -408,12 +428,12 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
             words = np.stack([_wide(x) for x in sets]).view(np.int64)
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(x, tables) for x in sets], pa.list_(pa.int64()))
-            shingles = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            shingles = pa.array([np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in sets], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(node), *(pa.array(words[:, i]) for i in range(WIDE)), keys, shingles], names=["id", "tag", "node", *cols, "keys", "shingles"])
 
     tag = F.lit(None) if tag is None else tag
     rows = docs.select(F.col(id_col).alias("id"), tag.cast("string").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = written(rows.mapInArrow(made, f"id {kind}, tag string, node long, {spec}, keys array<long>, shingles array<long>"), "wide")
+    base = written(rows.mapInArrow(made, f"id {kind}, tag string, node long, {spec}, keys array<long>, shingles array<int>"), "wide")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))
     nodes = written(base.groupBy("node").agg(*(F.first(c).alias(c) for c in (*cols, "keys")), least.alias("least"), F.count("*").alias("size")), "nodes")
     radius = differing(similarity)
