@@ -19,6 +19,8 @@ LEAST_BYTES = 100
 FILE_BYTES = 256 << 20
 BLOCK_LINES = 3000
 READ_BYTES = 8 << 20
+#: Bytes of archives that a task reads back.
+PART_BYTES = 128 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -199,7 +201,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 def read_archives(captures: DataFrame, path: str, payloads: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (and payload) of captures (file, offset, length).
 
-    Captures are dealt by place in the archives; neighbours are read in one range of bounded size.
+    Captures are dealt by place in the archives, to a task for each PART_BYTES of them and as many as the session asks for at least;
+    neighbours are read in one range of bounded size.
     """
     folder = f"{path.rstrip('/')}/archives"
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if payloads else {})
@@ -230,7 +233,10 @@ def read_archives(captures: DataFrame, path: str, payloads: bool = False) -> Dat
                 source.close()
 
     order = ["file", "offset"]
-    dealt = captures.select("file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
+    places = written(captures.select(*order, "length"), "places")
+    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, -(-(places.agg(F.sum("length")).first()[0] or 0) // PART_BYTES))
+    dealt = places.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     return dealt.mapInArrow(run, ", ".join(f"{k} {names[t]}" for k, t in kinds.items()))
 
