@@ -18,7 +18,7 @@ def reach(edges: DataFrame, start: DataFrame, backwards: bool = False) -> DataFr
     round is a table in the shared folder, so a lost executor costs one round at most.
     """
     near, far = ("dst", "src") if backwards else ("src", "dst")
-    steps = edges.select(F.col(near).alias("id"), F.col(far).alias("next"))
+    steps = written(edges.select(F.col(near).alias("id"), F.col(far).alias("next")).repartition("id"), "steps")
     front = written(start.select("id").distinct(), "front")
     seen = [front]
     while not front.isEmpty():

@@ -56,9 +56,9 @@ def files(g):
     return g.all_files()
 
 
-@query(" SELECT id, name FROM named WHERE file = 'FRANCE.o'")
+@query(" SELECT id, name FROM named WHERE file = 'NATION_7.o'")
 def nodes_for_file(g):
-    return g.nodes_for_file("FRANCE.o").select("id", display().alias("name"))
+    return g.nodes_for_file("NATION_7.o").select("id", display().alias("name"))
 
 
 @query(" SELECT id, CASE WHEN file IS NULL THEN name ELSE concat(name, ' (', file, ')') END AS text FROM named")

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary folder only where that is unset."""
+    """A new path in the folder that spark.checkpoint.dir names; a temporary folder only where that is unset and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = context._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}/{name}"

@@ -1,7 +1,6 @@
 """The graph's rules on small fixtures: definitions, edges, neighbours, views, selections, paths."""
 
 import random
-import re
 
 import pytest
 
@@ -32,21 +31,76 @@ def picked(g, text):
     return names(g.named((selection(text) if isinstance(text, str) else text).ids(g)))
 
 
-@pytest.fixture(scope="module")
-def sample(spark):
-    defined = ["a", "b", "func_a", "l1", "l2", "l12", "f(int, float)"]
-    return graph(spark, defined, [("a", "b", "call"), ("func_a", "b", "ref")], [("l1", "L1"), ("l12", "L1"), ("l2", "L2"), ("l12", "L2")])
-
-
-@pytest.fixture(scope="module")
-def chain(spark):
-    calls = [("a", "b"), ("a", "c"), ("c", "d"), ("d", "c"), ("d", "e")]
-    return graph(spark, "abcde", [(x, y, "call") for x, y in calls], [("a", "CO"), ("c", "CO")])
+class Plain:
+    """The same graph as sets, for answers by loops."""
+
+    def __init__(self, defined, edges, labels=(), external=()):
+        self.external = set(external)
+        self.names = {*defined, *self.external}
+        self.external |= {x for e in edges for x in e[:2]} - self.names
+        self.names |= self.external
+        self.calls = {(a, b) for a, b, k in edges if k == "call"}
+        self.refs = {(a, b) for a, b, k in edges if k == "ref"} - self.calls
+        self.labels = set(labels)
+
+    def has(self, label):
+        return {n for n, k in self.labels if k == label}
+
+    def callees(self, of):
+        return {b for a, b in self.calls if a in of and b not in self.external}
+
+    def callers(self, of):
+        return {a for a, b in self.calls if b in of}
+
+    def reach(self, of, backwards=False):
+        found, todo = set(), list(of)
+        while todo:
+            x = todo.pop()
+            if x not in found:
+                found.add(x)
+                todo += [(a if backwards else b) for a, b in self.calls | self.refs if (b if backwards else a) == x]
+        return found
+
+    def paths(self, accept, external=True, ref=True):
+        """All simple paths that accept takes, printed last to first."""
+        steps, found = self.calls | (self.refs if ref else set()), []
+
+        def grow(path):
+            if accept(path):
+                found.append(" ".join(reversed(path)))
+            for a, b in sorted(steps):
+                if a == path[-1] and b not in path and (external or b not in self.external):
+                    grow([*path, b])
+
+        for x in sorted(self.names):
+            if external or x not in self.external:
+                grow([x])
+        return sorted(found)
+
+    def omitted(self, target, callers):
+        """What stays when the callers, or callees, of a node are left out: what has another edge, and what was no neighbour."""
+        edges = self.calls | self.refs
+        open_ = {e for e in edges if e[callers] != target}
+        near = {target} | {e[not callers] for e in edges if e[callers] == target}
+        gone = {x for x in near if not any(a == x for a, _ in open_) and not any(b == x and ((a, b) in self.calls or x not in self.external) for a, b in open_)}
+        return sorted(self.names - gone)
+
+
+#: A small logger: who calls whom, who is only passed on, and what is labelled.
+LOGGER = Plain(
+    ["start", "stop", "log_open", "log_write", "log_close", "format(char const*, int)", "retry", "timer_tick"],
+    [
+        ("start", "log_open", "call"), ("start", "timer_tick", "ref"), ("log_open", "retry", "call"), ("retry", "log_open", "call"), ("log_write", "format(char const*, int)", "call"),
+        ("timer_tick", "log_write", "call"), ("log_write", "retry", "ref"), ("stop", "log_close", "call"), ("log_close", "log_write", "call"), ("log_write", "sys_write", "call"), ("retry", "sys_sleep", "ref"),
+    ],
+    [("log_open", "IO"), ("log_write", "IO"), ("sys_write", "IO"), ("log_write", "LOCKS"), ("log_close", "LOCKS"), ("start", "ENTRY"), ("stop", "ENTRY"), ("timer_tick", "ENTRY")],
+)
 
 
 @pytest.fixture(scope="module")
-def four(spark):
-    return graph(spark, "abc", [("a", "b", "ref"), ("b", "c", "call"), ("c", "d", "call"), ("a", "d", "call")], [("a", "L1"), ("c", "L1")])
+def logger(spark):
+    edges = [(a, b, "call") for a, b in LOGGER.calls] + [(a, b, "ref") for a, b in LOGGER.refs]
+    return graph(spark, sorted(LOGGER.names - LOGGER.external), sorted(edges), sorted(LOGGER.labels))
 
 
 def test_definitions(spark):
@@ -87,26 +141,25 @@ def test_references_to_externals(spark):
     assert {r["type"] for r in g.edge_type(asked).collect()} == {"ref"}
 
 
-@pytest.mark.parametrize("text,want", [
-    ("a", ["a"]), ("blah", []), ("[]", ["a", "b", "f(int, float)", "func_a", "l1", "l12", "l2"]), ("[L1,L2]", ["l12"]), ("[L1|L2]", ["l1", "l12", "l2"]),
-    ("![L1|L2]", ["a", "b", "f(int, float)", "func_a"]), ("[!L1,!L2]", ["a", "b", "f(int, float)", "func_a"]), ("/^func_/", ["func_a"]), ('[/^f/,!"func_a"]', ["f(int, float)"]),
-    ('"f(int, float)"', ["f(int, float)"]), ("b:callers", ["a"]), ('["b":callers]', ["a"]), ('["b"]:callers', ["a"]), ("a  b", ["a", "b"]), ("![]", []), ("[!]", []), ("![!L1]", ["l1", "l12"]), (" [ L1 , L2 ] ", ["l12"]),
-])
-def test_selections(sample, text, want):
-    assert picked(sample, text) == want
+IO, LOCKS, ENTRY, EVERY = LOGGER.has("IO"), LOGGER.has("LOCKS"), LOGGER.has("ENTRY"), LOGGER.names
 
 
 @pytest.mark.parametrize("text,want", [
-    ("d:all_callers", "acd"), ("c:all_callees", "cde"), ("[!CO]", "bde"), ("[CO:callees]", "bcd"), ("[!CO:callees]", "ce"), ("[!CO,CO:callees,![!CO:callees]]", "bd"), ("d:callers:callees", "d"),
+    ("retry", {"retry"}), ("nowhere", set()), ("[]", EVERY), ("![]", set()), ("[!]", set()), ("[IO]", IO), ("[IO,LOCKS]", IO & LOCKS), ("[ IO | LOCKS ]", IO | LOCKS), ("![IO|LOCKS]", EVERY - IO - LOCKS),
+    ("[!IO,!LOCKS]", EVERY - IO - LOCKS), ("![!IO]", IO), ("/^log_/", {n for n in EVERY if n.startswith("log_")}), ('[/t/,!"start"]', {n for n in EVERY if "t" in n} - {"start"}),
+    ('"format(char const*, int)"', {"format(char const*, int)"}), ("start  stop", {"start", "stop"}), ("retry:callers", LOGGER.callers({"retry"})), ('["log_write":callers]', LOGGER.callers({"log_write"})),
+    ('["log_write"]:callees', LOGGER.callees({"log_write"})), ("[ENTRY:callees]", LOGGER.callees(ENTRY)), ("[!ENTRY:callees]", LOGGER.callees(EVERY - ENTRY)),
+    ("[IO,ENTRY:callees,![LOCKS:callees]]", IO & LOGGER.callees(ENTRY) - LOGGER.callees(LOCKS)), ("retry:callers:callees", LOGGER.callees(LOGGER.callers({"retry"}))),
+    ("retry:all_callers", LOGGER.reach({"retry"}, True)), ("timer_tick:all_callees", LOGGER.reach({"timer_tick"})),
 ])
-def test_steps(chain, text, want):
-    assert picked(chain, text) == list(want)
+def test_selections(logger, text, want):
+    assert picked(logger, text) == sorted(want)
 
 
-def test_composed(sample):
-    assert picked(sample, (Label("L1") | Name("a")) & ~Regex("^l12$")) == ["a", "l1"]
-    assert picked(sample, Where(lambda c: c.contains("unc"))) == ["func_a"]
-    assert picked(sample, And()) == picked(sample, "[]") and picked(sample, Or()) == []
+def test_composed(logger):
+    assert picked(logger, (Label("IO") | Name("stop")) & ~Regex("write$")) == ["log_open", "stop"]
+    assert picked(logger, Where(lambda c: c.contains("tick"))) == ["timer_tick"]
+    assert picked(logger, And()) == picked(logger, "[]") and picked(logger, Or()) == []
 
 
 @pytest.mark.parametrize("text", ["", "!!a", "[a", "a]", "/(/", '"open', "a ,b", "a*"])
@@ -130,24 +183,31 @@ def walked(g, text, external=True, ref=True, **more):
     return sorted(" ".join(reversed(r["path"])) for r in paths(g, pattern(text) if isinstance(text, str) else text, external, ref, **more).collect())
 
 
-@pytest.mark.parametrize("text,flags,want", [
-    ("a", {}, ["a"]), ("a b", {}, ["b a"]), ("a ... d", {}, ["d a", "d c b a"]), ("[L1]", {}, ["a", "c"]), ("a ... [L1] ... d", {}, ["d a", "d c b a"][1:]), ("a [!L1]* d", {}, ["d a"]),
-    ("[L1] [!L1]", {"ref": False}, ["d a", "d c"]), ("[L1] [!L1]", {"external": False}, ["b a"]), ("(a | b) *"[:7] + "* c", {}, ["c", "c b", "c b a"]), ("... d", {}, ["d", "d a", "d c", "d c b", "d c b a"]),
-])
-def test_paths(four, text, flags, want):
-    assert walked(four, text, **flags) == sorted(want)
+def inside(path, kept):
+    return all(x in kept for x in path)
 
 
-def test_paths_in_views(four):
-    hidden = views.omit_callees_of(four, Name("b").ids(four))
-    assert walked(hidden, "a ... d") == ["d a"]
-    assert walked(views.omit(four, Name("b").ids(four)), "a ... d") == ["d a"]
-    one = views.only(four, Name("a").ids(four))
-    assert walked(one, "[L1]") == ["a"] and walked(views.keep(one, Name("c").ids(one)), "[L1]") == ["a", "c"]
-    assert walked(four, "a ... d", limit=1) == ["d a"] and walked(four, "a ... d", limit=0) == []
+@pytest.mark.parametrize("text,flags,accept", [
+    ("retry", {}, lambda p: p == ["retry"]), ("log_write retry", {}, lambda p: p == ["log_write", "retry"]), ("start ... log_write", {}, lambda p: p[0] == "start" and p[-1] == "log_write"),
+    ("[IO]", {}, lambda p: len(p) == 1 and p[0] in IO), ("[ENTRY] ... [IO] ... sys_write", {}, lambda p: len(p) > 1 and p[0] in ENTRY and p[-1] == "sys_write" and bool(IO & set(p[1:-1]))),
+    ("[ENTRY] [!LOCKS]* retry", {}, lambda p: len(p) > 1 and p[0] in ENTRY and p[-1] == "retry" and inside(p[1:-1], EVERY - LOCKS)), ("[LOCKS] [!LOCKS]", {"ref": False}, lambda p: len(p) == 2 and p[0] in LOCKS and p[1] not in LOCKS),
+    ("[LOCKS] [!LOCKS]", {"external": False}, lambda p: len(p) == 2 and p[0] in LOCKS and p[1] not in LOCKS), ("(start | timer_tick)* log_write", {}, lambda p: p[-1] == "log_write" and inside(p[:-1], {"start", "timer_tick"})), ("... sys_sleep", {}, lambda p: p[-1] == "sys_sleep"),
+])
+def test_paths(logger, text, flags, accept):
+    want = LOGGER.paths(accept, **flags)
+    assert want and walked(logger, text, **flags) == want
+
+
+def test_paths_in_views(logger):
+    cut = LOGGER.paths(lambda p: p[0] == "start" and p[-1] == "sys_sleep" and "retry" not in p[1:-1] or p == ["start"])
+    assert walked(logger, "start ... sys_sleep", limit=0) == [] and len(walked(logger, "start ... sys_sleep", limit=1)) == 1 and cut == ["start"]
+    assert walked(views.omit(logger, Name("retry").ids(logger)), "start ... sys_sleep") == []
+    assert walked(views.omit_callees_of(logger, Name("retry").ids(logger)), "start ... sys_sleep") == []
+    one = views.only(logger, Name("stop").ids(logger))
+    assert walked(one, "[ENTRY]") == ["stop"] and walked(views.keep(one, Name("start").ids(one)), "[ENTRY]") == ["start", "stop"]
     with pytest.raises(ValueError):
-        walked(four, "a ... d", most_nodes=2)
-    assert walked(four, Seq()) == [] and walked(four, Alt()) == []
+        walked(logger, "start ... sys_sleep", most_nodes=2)
+    assert walked(logger, Seq()) == [] and walked(logger, Alt()) == []
 
 
 def test_places():
@@ -158,33 +218,16 @@ def test_places():
         Places(Seq((a,) * 63))
 
 
-def calls(spark, text, **more):
-    edges = [tuple(e) + ("call",) for e in text.split()]
-    return graph(spark, sorted({n for e in edges for n in e[:2]}), edges, **more)
-
-
-def test_omit_callees(spark):
-    g = calls(spark, "ac bc ad")
-    v = views.omit_callees_of(g, Name("a").ids(g))
-    assert shown(v) == ["b", "c"]
-    g = calls(spark, "ab cb ea")
-    v = views.omit_callees_of(g, Name("a").ids(g))
-    pairs = sorted((r["src_name"], r["dst_name"]) for r in neighbours.callers(v, None).collect())
-    assert pairs == [("c", "b"), ("e", "a")] and shown(v) == ["a", "b", "c", "e"]
-
-
-def test_omit_callers(spark):
-    g = calls(spark, "ac bc ad")
-    assert shown(views.omit_callers_of(g, Name("c").ids(g))) == ["a", "d"]
-    g = calls(spark, "ac bc ad cd")
-    assert shown(views.omit_callers_of(g, Name("c").ids(g))) == ["a", "c", "d"]
-    g = calls(spark, "ea ba bc")
-    v = views.omit_callers_of(g, Name("a").ids(g))
-    assert sorted((r["src_name"], r["dst_name"]) for r in neighbours.callees(v, None).collect()) == [("b", "c")]
+@pytest.mark.parametrize("target", ["log_write", "retry", "stop", "sys_write", "format(char const*, int)"])
+def test_omitted_neighbours(logger, target):
+    assert shown(views.omit_callers_of(logger, Name(target).ids(logger))) == LOGGER.omitted(target, True)
+    assert shown(views.omit_callees_of(logger, Name(target).ids(logger))) == LOGGER.omitted(target, False)
+    left = neighbours.callers(views.omit_callers_of(logger, Name(target).ids(logger)), None).collect()
+    assert left and not any(r["dst_name"] == target for r in left)
 
 
 def test_last_command_wins(spark):
-    g = calls(spark, "ab bc")
+    g = graph(spark, ["a", "b", "c"], [("a", "b", "call"), ("b", "c", "call")])
     b = Name("b").ids(g)
     hidden = views.omit(g, b)
     assert shown(hidden) == ["a", "c"] and shown(views.keep(hidden, b)) == ["a", "b", "c"] and shown(views.omit(views.keep(hidden, b), b)) == ["a", "c"]
@@ -196,13 +239,6 @@ def test_last_command_wins(spark):
     assert both.count() == 2  # visibility of the ends doesn't matter here
 
 
-def plain(n, edges, external, labels):
-    """A brute-force graph to compare with: sets and recursion."""
-    calls_ = {(a, b) for a, b, k in edges if k == "call"}
-    refs = {(a, b) for a, b, k in edges if k == "ref"} - calls_
-    return calls_, refs
-
-
 @pytest.mark.parametrize("seed", range(2))
 def test_random(spark, seed):
     rng = random.Random(seed)
@@ -212,46 +248,26 @@ def test_random(spark, seed):
     edges = [(a, b, rng.choice(["call", "call", "ref"])) for a in all_names if a not in external for b in rng.sample(all_names, 2)]
     labels = [(x, k) for x in all_names for k in "XY" if rng.random() < 0.4]
     g = graph(spark, [x for x in all_names if x not in external], edges, labels, sorted(external))
-    calls_, refs = plain(n, edges, external, labels)
-    has = {k: {x for x, own in labels if own == k} for k in "XY"}
-
-    reach, todo = set(), list(has["X"])
-    while todo:
-        x = todo.pop()
-        if x not in reach:
-            reach.add(x)
-            todo += [b for a, b in calls_ | refs if a == x]
-    assert picked(g, "[X]:all_callees") == sorted(reach)
-    assert names(g.named(closure.all_callees(g, Label("X").ids(g)))) == sorted(reach)
+    own = Plain([x for x in all_names if x not in external], edges, labels, external)
+    x, y = own.has("X"), own.has("Y")
+    assert picked(g, "[X]:all_callees") == sorted(own.reach(x))
+    assert names(g.named(closure.all_callees(g, Label("X").ids(g)))) == sorted(own.reach(x))
+    assert names(g.named(closure.all_callers(g, Label("X").ids(g)))) == sorted(own.reach(x, True))
+
+    def accept(path):
+        return len(path) > 1 and path[0] in x and (path[-1] in y or len(path) > 2 and path[-2] in y and path[-1] not in y)
 
     for ref in (False, True):
         for ext in (False, True):
-            steps = calls_ | (refs if ref else set())
-            found = []
-
-            def grow(path):
-                word = "".join("b" if x in has["X"] and x in has["Y"] else "x" if x in has["X"] else "y" if x in has["Y"] else "o" for x in path)
-                if re.fullmatch("[xb].*[yb]([xo])?", word):
-                    found.append(" ".join(reversed(path)))
-                for a, b in sorted(steps):
-                    if a == path[-1] and b not in path and (ext or b not in external):
-                        grow([*path, b])
-
-            for x in all_names:
-                if ext or x not in external:
-                    grow([x])
-            assert walked(g, "[X] ... [Y] | [X] ... [Y] [!Y]", ext, ref) == sorted(found)
+            assert walked(g, "[X] []* [Y] | [X] []* [Y] [!Y]", ext, ref) == own.paths(accept, ext, ref)
 
     target = rng.choice(all_names)
-    v = views.omit_callers_of(g, Name(target).ids(g))
-    open_ = {e for e in calls_ | refs if e[1] != target}
-    near = {target} | {a for a, b in calls_ | refs if b == target}
-    gone = {x for x in near if not any(a == x for a, _ in open_) and not any(b == x and ((a, b) in calls_ or x not in external) for a, b in open_)}
-    assert shown(v) == sorted(set(all_names) - gone)
+    assert shown(views.omit_callers_of(g, Name(target).ids(g))) == own.omitted(target, True)
+    assert shown(views.omit_callees_of(g, Name(target).ids(g))) == own.omitted(target, False)
 
 
-def test_schemas(four):
-    for df, schema in ((four.nodes, NODES), (four.edges, EDGES), (four.labels, LABELS)):
+def test_schemas(logger):
+    for df, schema in ((logger.nodes, NODES), (logger.edges, EDGES), (logger.labels, LABELS)):
         assert [f"{n} {t}".replace("bigint", "long") for n, t in df.dtypes] == schema.split(", ")
-    assert isinstance(four.add_label(Name("b").ids(four), "N"), CallGraph)
-    assert picked(four.add_label(Name("b").ids(four), "N"), "[N]") == ["b"] and picked(four.reset_labels(), "[L1]") == []
+    more = logger.add_label(Name("retry").ids(logger), "SLOW")
+    assert isinstance(more, CallGraph) and picked(more, "[SLOW]") == ["retry"] and picked(logger.reset_labels(), "[IO]") == []
