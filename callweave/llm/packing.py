@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .subwords import encoder
+from .subwords import TABLE_BYTES, encoder
 
 #: Ids held by a task before what it has is packed; bounds a task's memory.
 WINDOW_IDS = 2 << 20
-#: Bytes of words that a task remembers; fewer than elsewhere, as the window needs memory too.
-TABLE_BYTES = 48 << 20
 
 
 def fill(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -109,7 +107,7 @@ def layout(lengths: np.ndarray, capacity: int, final: bool, most_left: int = WIN
     return pieces, waiting, seq
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | None = 1, mark: str = " \x01 ", id_col: str = "doc_id", text_col: str = "text", window_ids: int = WINDOW_IDS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | None = 1, mark: str = " \x01 ", id_col: str = "doc_id", text_col: str = "text", window_ids: int = WINDOW_IDS, with_ids: bool = False, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Encode whole texts, append end_id and pack the ids into sequences of at most capacity ids.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the
@@ -117,7 +115,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | N
     without an end id it has no piece. Null and repeated ids are rows like others, no rows give no
     pieces, other columns are dropped.
 
-    Each partition packs what it holds, window by window, without a shuffle; unfilled remainders, a quarter of a window
+    table_bytes bounds what a worker remembers of words. Each partition packs what it holds, window by window, without a shuffle; unfilled remainders, a quarter of a window
     at most, move on to the partition's next window. Sequences are numbered by partition, so a task that runs again
     makes the same rows.
     """
@@ -127,7 +125,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | N
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        made = encoder(vocabulary, mark=mark, most=TABLE_BYTES)
+        made = encoder(vocabulary, mark=mark, most=table_bytes)
         names: list = []  # of the items in the window, with their ids, what is done of them, and length
         ids: list[np.ndarray] = []
         done: list[int] = []
