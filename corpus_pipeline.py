@@ -8,6 +8,10 @@ from callweave.llm import dedup, packing, pii, quality, simhash
 from callweave.llm.common import free_name, row_key, ship, without, written
 
 
+#: Bytes of words that a worker remembers while packing; fewer than elsewhere, as executors still hold what the stages before needed.
+TABLE_BYTES = 48 << 20
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, with its hosts' and paths' posteriors, keeps; all columns stay.
 
@@ -53,7 +57,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts count as empty and have the end id alone; null and repeated ids are rows like others. No rows give no rows.
     """
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1, table_bytes=TABLE_BYTES)
 
 
 STAGES = [("quality", good_quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", packed)]
