@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Queries sent to the executors at once, and rows in the head that sets the first thresholds; both bound what the driver and a broadcast hold.
-QUERY_BLOCK = 8192
+#: Rows in the head that gives the rotation and the first thresholds; bounds what the driver holds and sends.
 HEAD_ROWS = 2048
+#: Components of vectors in a block, which a task holds, and queries that a task meets with its block at most.
+BLOCK_VALUES = 1 << 22
+QUERY_SLICE = 1 << 19
+#: Queries held against a block at once.
+AT_ONCE = 2048
 _LIMIT = (1 << 63) - 1
+_ROUNDING = 1e-9
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: float | None) -> DataFrame:
@@ -43,52 +48,64 @@ def _products(queries: np.ndarray, rows: np.ndarray, safe: bool) -> np.ndarray:
     return np.array([max(-_LIMIT, min(_LIMIT, sum(int(a) * int(b) for a, b in zip(q, r, strict=True)))) for q, r in zip(queries, rows, strict=True)], np.int64)
 
 
+class Block:
+    """Vectors, longest first, with their rotated coordinates, their norms and the norms of what follows the first coordinates."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, rotation: np.ndarray, first: int):
+        turned = rows @ rotation
+        norm = np.sqrt((turned**2).sum(1))
+        order = np.argsort(-norm, kind="stable")
+        self.ids, self.rows, self.norm = ids[order], rows[order], norm[order]
+        self.front = np.ascontiguousarray(turned[order, :first])
+        self.rest = np.sqrt((turned[order, first:] ** 2).sum(1))
+        self.top = np.abs(rows).max(initial=0)
+
+
 class Search:
-    """A block of queries that takes in vectors, longest first, and keeps each query's k best."""
+    """Some queries, with a threshold each, that look for their k best in a block."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, rotation: np.ndarray, first: int, floor: np.ndarray | None = None):
-        self.ids, self.queries, self.k, self.rotation, self.first = ids, queries, k, rotation, first
-        self.turned = queries @ rotation
-        self.norm = np.sqrt((self.turned**2).sum(1))
-        self.rest = np.sqrt((self.turned[:, first:] ** 2).sum(1))
+        self.ids, self.queries, self.k = ids, queries, k
+        turned = queries @ rotation
+        self.front, self.norm = turned[:, :first], np.sqrt((turned**2).sum(1))
+        self.rest = np.sqrt((turned[:, first:] ** 2).sum(1))
         self.top = np.abs(queries).max(initial=0)
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
-        self.none()
-
-    def none(self) -> None:
         self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def take(self, ids: np.ndarray, rows: np.ndarray, at_most: int = 1 << 22) -> None:
-        if not len(ids) or not len(self.ids):
+    def least_norm(self) -> np.ndarray:
+        """Vectors shorter than this can't reach a query's threshold."""
+        own = _ROUNDING * (self.norm + 1)
+        return (self.floor - 1 - own) / np.maximum(self.norm + own, _ROUNDING) - _ROUNDING
+
+    def take(self, block: Block, at_most: int = 1 << 21) -> None:
+        if not len(block.ids) or not len(self.ids):
             return
-        turned = rows @ self.rotation
-        norm = np.sqrt((turned**2).sum(1))
-        order = np.argsort(-norm, kind="stable")
-        ids, rows, turned, norm = ids[order], rows[order], turned[order], norm[order]
-        rest = np.sqrt((turned[:, self.first :] ** 2).sum(1))
         # Rounding of the products stays far below this share of the norms' product.
-        slack = 1 + 1e-9 * (self.norm + 1) * (norm[0] + 1)
+        slack = 1 + _ROUNDING * (self.norm + 1) * (block.norm[0] + 1)
         step = max(16, min(1024, at_most // len(self.ids)))
-        for a in range(0, len(ids), step):
+        for a in range(0, len(block.ids), step):
             part = slice(a, a + step)
-            live = np.flatnonzero(self.norm * norm[a] + slack >= self.floor)
+            live = np.flatnonzero(self.norm * block.norm[a] + slack >= self.floor)
             if not len(live):
                 return
-            bound = self.turned[live, : self.first] @ turned[part, : self.first].T
-            bound += np.outer(self.rest[live], rest[part])
+            bound = self.front[live] @ block.front[part].T
+            bound += np.outer(self.rest[live], block.rest[part])
             q, r = np.nonzero(bound + slack[live, None] >= self.floor[live, None])
             q, r = live[q], r + a
-            apart = self.ids[q] != ids[r]
-            self._add(q[apart], ids[r[apart]], rows, r[apart])
+            apart = self.ids[q] != block.ids[r]
+            self._add(q[apart], r[apart], block)
 
-    def _add(self, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, r: np.ndarray) -> None:
-        safe = self.top * np.abs(rows).max(initial=0) * max(1, rows.shape[1]) < 2**53
-        score = np.concatenate([_products(self.queries[q[a : a + 65536]], rows[r[a : a + 65536]], safe) for a in range(0, len(q), 65536)] or [np.zeros(0, np.int64)])
+    def _add(self, q: np.ndarray, r: np.ndarray, block: Block) -> None:
+        safe = self.top * block.top * max(1, block.rows.shape[1]) < 2**53
+        score = np.concatenate([_products(self.queries[q[a : a + 65536]], block.rows[r[a : a + 65536]], safe) for a in range(0, len(q), 65536)] or [np.zeros(0, np.int64)])
         keep = score >= self.floor[q]
-        q, ids, score = (np.concatenate([old, new[keep]]) for old, new in zip(self.found, (q, ids, score), strict=True))
+        if not keep.any():
+            return
+        q, ids, score = (np.concatenate([old, new[keep]]) for old, new in zip(self.found, (q, block.ids[r], score), strict=True))
         order = np.lexsort((ids, -score, q))
         q, ids, score = q[order], ids[order], score[order]
-        start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
         place = np.arange(len(q)) - np.repeat(start, np.diff(np.concatenate([start, [len(q)]])))
         q, ids, score, place = (x[place < self.k] for x in (q, ids, score, place))
         last = place == self.k - 1
@@ -96,7 +113,7 @@ class Search:
         self.found = q, ids, score
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, head_rows: int = HEAD_ROWS, first: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", head_rows: int = HEAD_ROWS, block_values: int = BLOCK_VALUES, query_slice: int = QUERY_SLICE, first: int | None = None) -> DataFrame:
     """(query_id, rank, <id>, score): each query's k largest whole-number inner products with rows of other ids.
 
     Ties go to the smaller id; fewer candidates give fewer rows. Components are whole numbers after
@@ -104,43 +121,74 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float | Non
     without an id. A shorter vector counts as ending in zeros. Rows that repeat an id are candidates of their own; a query id that
     repeats is asked once, with its smallest vector. Scores beyond 64 bits stay at the limit.
 
-    The head, a bounded number of the longest vectors, gives the rotation (its right singular vectors) and each
-    query's first threshold. Queries go out in blocks of bounded size; for each block every
-    partition takes its vectors longest first, drops queries whose norms can't reach the threshold,
-    adds the bound of the remaining coordinates (Cauchy-Schwarz) to the partial sum of the first ones, and
-    multiplies out only what that leaves. A partition hands on k rows for a query at most.
+    The vectors are sorted by length and cut into blocks that a task can hold. The head, a bounded number of the longest
+    ones, gives the rotation (its right singular vectors) and, in tasks, each query's first threshold. A query then goes
+    only to the blocks, the first ones in that order, whose longest vector could reach its threshold; every pair of a block and a slice of the queries
+    is one task's. There vectors are taken longest first, queries whose norms can't reach their thresholds any more are
+    left out, the bound of the remaining coordinates (Cauchy-Schwarz) is added to the partial sum of the first ones, and only
+    what that leaves is multiplied out. A block hands on k rows for a query at most. The driver holds the head and one norm for each block.
     """
-    rows = scaled(vectors, id_col, vector_col, scale)
-    asked = scaled(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    head = rows.orderBy(norm.desc(), "id", "v").limit(head_rows).toArrow()
-    total, size = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    size = max(size or 0, rows.agg(F.max(F.size("v"))).first()[0] or 0, 1)
-    head_ids, head_rows_ = head.column("id").to_numpy(), _matrix(head.column("v").combine_chunks(), size)
-    rotation = np.linalg.svd(head_rows_ / max(1.0, np.abs(head_rows_).max(initial=0)), full_matrices=True)[2].T if len(head_ids) else np.eye(size)
+    spark = vectors.sparkSession
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = written(scaled(vectors, id_col, vector_col, scale).select("id", "v", norm.alias("norm"), F.monotonically_increasing_id().alias("n")), "vectors")
+    asked = written(scaled(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    total, size = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_asked, longest = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    size = max(size or 0, longest or 0, 1)
+    head = rows.orderBy(F.desc("norm"), "id", "v").limit(head_rows).select("id", "v").toArrow()
+    head_ids, head_vectors = head.column("id").to_numpy(), _matrix(head.column("v").combine_chunks(), size)
+    rotation = np.linalg.svd(head_vectors / max(1.0, np.abs(head_vectors).max(initial=0)), full_matrices=True)[2].T if len(head_ids) else np.eye(size)
     first = first or max(1, size // 4)
 
-    spark = vectors.sparkSession
-    blocks = max(1, -(-total // query_block))
-    placed = written(asked.repartition(blocks).select(F.spark_partition_id().alias("block"), "id", "v"), "queries")
-    sorted_rows = rows.select("id", "v").sortWithinPartitions(norm.desc())
-    found = None
-    for block in range(blocks):
-        own = placed.where(F.col("block") == block).toArrow()
-        ids, q = own.column("id").to_numpy(), _matrix(own.column("v").combine_chunks(), size)
-        start = Search(ids, q, k, rotation, first)
-        start.take(head_ids, head_rows_)
-        sent = spark.sparkContext.broadcast((ids, q, rotation, start.floor))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q, rotation, floor = sent.value
-            search = Search(ids, q, k, rotation, first, floor)
-            for batch in batches:
-                search.take(batch.column("id").to_numpy(), _matrix(batch.column("v"), size))
-            at, other, score = search.found
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(other), pa.array(score)], names=["query_id", "other", "score"])
-
-        best = sorted_rows.mapInArrow(run, "query_id long, other long, score long")
-        found = best if found is None else found.unionByName(best)
+    # The place n parts vectors of one length, also where rows repeat.
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * size // block_values))
+    dealt = rows.repartitionByRange(count, F.desc("norm"), "n").select(F.spark_partition_id().alias("block"), "id", "v", "norm")
+    blocks = written(dealt, "blocks")
+    tops = np.full(count, -1.0)
+    for block, top in blocks.groupBy("block").agg(F.max("norm")).collect():  # one row a block
+        tops[block] = top
+    tops = np.maximum.accumulate(tops[::-1])  # ascending, from the last block to the first
+
+    def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longest = Block(head_ids, head_vectors, rotation, first)
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                own = batch.slice(at, AT_ONCE)
+                search = Search(own.column("id").to_numpy(), _matrix(own.column("v"), size), k, rotation, first)
+                search.take(longest)
+                reached = count - np.searchsorted(tops, search.least_norm())
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("v"), pa.array(search.floor), pa.array(reached.astype(np.int32))], names=["id", "v", "floor", "reached"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None  # the rows of a block come before the queries that look for theirs in it
+        for batch in batches:
+            place, part, probing = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "slice", "probe"))
+            cuts = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(part) != 0) | (probing[1:] != probing[:-1])) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if key != (place[s], part[s]):
+                    key, held, block = (place[s], part[s]), [], None
+                own = batch.slice(s, e - s)
+                if not probing[s]:
+                    held.append((own.column("id").to_numpy(), _matrix(own.column("v"), size)))
+                    continue
+                if block is None and held:
+                    block, held = Block(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), rotation, first), []
+                for at in range(0, own.num_rows if block else 0, AT_ONCE):
+                    some = own.slice(at, AT_ONCE)
+                    ids = some.column("id").to_numpy()
+                    search = Search(ids, _matrix(some.column("v"), size), k, rotation, first, some.column("floor").to_numpy())
+                    search.take(block)
+                    q, other, score = search.found
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(other), pa.array(score)], names=["query_id", "other", "score"])
+
+    slices = max(1, -(-n_asked // query_slice))
+    aim = asked.mapInArrow(aimed, "id long, v array<double>, floor double, reached int").where("reached > 0")
+    own_slice = F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")
+    probes = aim.select(F.explode(F.sequence(F.lit(0), F.col("reached") - 1)).alias("block"), own_slice.alias("slice"), F.lit(True).alias("probe"), "id", "v", "floor")
+    members = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(False).alias("probe"), "id", "v", F.lit(0.0).alias("floor"))
+    pairs = members.unionByName(probes).repartition(min(count * slices, 1 << 20), "block", "slice").sortWithinPartitions("block", "slice", "probe")
+    found = pairs.mapInArrow(met, "query_id long, other long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("other").alias(id_col), "score")

@@ -24,14 +24,14 @@ def brute(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,head", [(8192, 2048), (7, 3)])
-def test_top_k(spark, block, head):
+@pytest.mark.parametrize("block,part,head", [(topk.BLOCK_VALUES, topk.QUERY_SLICE, 2048), (12 * 7, 9, 3)])
+def test_top_k(spark, block, part, head):
     rng = np.random.default_rng(2)
     rows = [(i, (rng.normal(size=12) * rng.lognormal(sigma=1)).astype(np.float32).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(30)]  # ties
     rows += [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 12), (2003, [float("inf")]), (2004, [0.5] * 3), (2005, []), (None, [9.0] * 12), (3, rows[5][1]), (50, rows[50][1])]
     docs = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, rank int, score string").repartition(5)
-    found = topk.top_k(docs, docs.where("vec_id % 10 = 0"), k=5, scale=256.0, query_block=block, head_rows=head)
+    found = topk.top_k(docs, docs.where("vec_id % 10 = 0"), k=5, scale=256.0, block_values=block, query_slice=part, head_rows=head)
     assert found.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(map(tuple, found.collect())) == brute(rows, [r for r in rows if r[0] is not None and r[0] % 10 == 0], 5)
 
