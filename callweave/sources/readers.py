@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import shlex
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..graph import EDGES, LABELS, NODES, CallGraph
-from .facts import FACTS, build
+from ..operators import views
+from ..operators.spec import selection
+from .facts import FACTS, build, rejected
 
 # The lines of a compiler's expansion dump.
 _PLAIN = r"^;; Function (\S+)\s*$"
 _PRETTY = r"^;; Function (.*)\s+\((\S+)(,.*)?\).*$"
 _SYMBOL = r'\(symbol_ref[^(]*\("([^"]*)"'
 _DUMP = r"^(.*?)\.[0-9]*r\.expand"
+_WORD = r'"(?:\\.|[^"\\])*"|\S+'
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -30,9 +34,15 @@ def _fact(kind: str, **columns: Column) -> list[Column]:
     return [given.get(n, F.lit(None)).cast(t).alias(n) for n, t in (f.split() for f in FACTS.split(", "))]
 
 
-def _order() -> Column:
-    """Lines in order within a file; files one after another in an order of their names' hashes."""
-    return F.pmod(F.xxhash64("file"), F.lit(1 << 22)) * (1 << 40) + F.col("pos")
+def _ordered(text: DataFrame) -> DataFrame:
+    """text with ord: lines in order within a file, files one after another by their paths. Only one row a file meets in one place.
+
+    Files of a stream, whose later ones aren't known yet, follow one another by a hash of their paths.
+    """
+    if text.isStreaming:
+        return text.withColumn("ord", F.pmod(F.xxhash64("file"), F.lit(1 << 22)) * F.lit(1 << 40) + F.col("pos"))
+    files = text.select("file").distinct().withColumn("place", F.row_number().over(Window.orderBy("file")))
+    return text.join(files, "file").withColumn("ord", F.col("place") * F.lit(1 << 40) + F.col("pos")).drop("place")
 
 
 def dump_facts(text: DataFrame, object_name: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -49,21 +59,30 @@ def dump_facts(text: DataFrame, object_name: Callable[[Column], Column] | None =
     shown = F.when(head & (plain == "") & (pretty != ""), F.regexp_extract(v, _PRETTY, 1))
     w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = text.withColumns({"own": own, "shown": shown}).withColumn("fn", F.last("own", True).over(w))
-    rows = rows.withColumn("ord", _order())
+    rows = _ordered(rows)
     nodes = rows.where("own is not null").select(*_fact("node", ord=F.col("ord"), name=F.col("own"), username=F.col("shown"), file=name(F.col("file"))))
     called = F.regexp_extract(v, _SYMBOL, 1)
     edges = rows.where(~head & F.col("fn").isNotNull() & (called != "")).select(*_fact("edge", ord=F.col("ord"), name=F.col("fn"), target=called, is_call=v.contains("(call")))
     return nodes.unionByName(edges)
 
 
+def _selected() -> Column:
+    """Whether a line labels nodes by a selection and not by names alone."""
+    words = F.regexp_extract_all("value", F.lit(f"({_WORD})"), F.lit(1))
+    marked = F.exists(words, lambda w: w.rlike(r"^[\[\]()|!/]|^[\w.]+:(all_)?calle(rs|es)"))
+    return F.coalesce((F.get(words, F.lit(0)) == "label") & marked, F.lit(False))
+
+
 def script_facts(text: DataFrame) -> DataFrame:
-    """Facts of command lines (file, pos, value): node, edge and label with literal names; other lines and comments are left out.
+    """Facts of command lines (file, pos, value): node, edge and label with literal names; comments are left out, and so are all
+    other lines, which `replay` carries out.
 
     node [--external] NAME [FILE], edge CALLER CALLEE [call|ref], label LABEL NAME...; words may be in double quotes.
     """
-    words = F.transform(F.regexp_extract_all(F.trim("value"), F.lit(r'("(?:\\.|[^"\\])*"|\S+)'), F.lit(1)), lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), r"\\(.)", "$1")).otherwise(x))
+    text = text.where(~_selected())
+    words = F.transform(F.regexp_extract_all(F.trim("value"), F.lit(f"({_WORD})"), F.lit(1)), lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), r"\\(.)", "$1")).otherwise(x))
     rows = text.where(~F.ltrim("value").startswith("#")).select("file", "pos", words.alias("w")).where("size(w) > 1")
-    rows = rows.withColumn("ord", _order())
+    rows = _ordered(rows)
     w, ord_ = F.col("w"), F.col("ord")
     node = rows.where("w[0] = 'node'").withColumns({"external": F.array_contains("w", "--external"), "w": F.filter("w", lambda x: x != "--external")}).where("size(w) > 1")
     nodes = node.select(*_fact("node", ord=ord_, name=w[1], file=F.get("w", 2), external=F.col("external")))
@@ -73,6 +92,35 @@ def script_facts(text: DataFrame) -> DataFrame:
     return nodes.unionByName(edges).unionByName(labels)
 
 
+def replay(graph: CallGraph, text: DataFrame, strict: bool = False) -> CallGraph:
+    """graph after the commands among lines (file, pos, value) that aren't facts, in their order.
+
+    omit, keep and only with [--callers] [--callees] SELECTION, reset [--filters] [--labels], and label LABEL SELECTION. They act on
+    the graph of all facts, wherever they stand among them. Commands come to the driver one by one, as they do
+    from a user. One with wrong arguments raises ValueError, any other line does if strict and is left out otherwise.
+    """
+    rest = text.where(F.trim("value") != "").where(~F.ltrim("value").startswith("#")).where(~F.ltrim("value").rlike(r"^(node|edge)\s"))
+    rest = rest.where(~F.ltrim("value").rlike(r"^label\s") | _selected())
+    for row in _ordered(rest).orderBy("ord").select("value").toLocalIterator():
+        command, *words = re.findall(_WORD, row["value"])
+        flags = {w[2:] for w in words if w.startswith("--")}
+        words = [w for w in words if not w.startswith("--")]
+        known = {"filters", "labels"} if command == "reset" else set() if command == "label" else {"callers", "callees"}
+        if command not in ("omit", "keep", "only", "label", "reset") and not strict:
+            continue
+        if command not in ("omit", "keep", "only", "label", "reset") or flags - known or (command == "reset") == bool(words):
+            raise ValueError(f"not a command of a graph: {row['value'].strip()}")
+        if command == "reset":
+            graph = graph if flags == {"labels"} else graph.reset_filter()
+            graph = graph if flags == {"filters"} else graph.reset_labels()
+        elif command == "label":
+            graph = graph.add_label(selection(" ".join(words[1:])).ids(graph), words[0].strip('"'))
+        else:
+            act = {"omit": views.omit, "keep": views.keep, "only": views.only}[command]
+            graph = act(graph, selection(" ".join(words)).ids(graph), callers="callers" in flags, callees="callees" in flags)
+    return graph
+
+
 def compile_database(spark: SparkSession, path: str) -> DataFrame:
     """(object_file, absolute_path, directory, command): one row per object file, the last entry's.
 
@@ -87,10 +135,13 @@ def compile_database(spark: SparkSession, path: str) -> DataFrame:
     def absolute(c: str) -> Column:
         return F.when(F.col(c).startswith("/"), F.col(c)).otherwise(F.concat_ws("/", "directory", c))
 
-    split = F.udf(shlex.split, T.ArrayType(T.StringType()))  # a shell's quoting has no built-in
+    @F.pandas_udf("array<string>")
+    def words(commands: pd.Series) -> pd.Series:  # a shell's quoting has no built-in
+        return commands.map(shlex.split)
+
     last = raw.select("n", absolute("output").alias("object_file"), absolute("file").alias("absolute_path"), "directory", "command")
     last = last.groupBy("object_file").agg(F.max_by(F.struct("absolute_path", "directory", "command"), "n").alias("e"))
-    return last.select("object_file", "e.absolute_path", "e.directory", split("e.command").alias("command"))
+    return last.select("object_file", "e.absolute_path", "e.directory", words("e.command").alias("command"))
 
 
 def dumps_of(objects: DataFrame, files: DataFrame) -> DataFrame:
@@ -107,8 +158,14 @@ def read_dumps(spark: SparkSession, path: str | list[str]) -> CallGraph:
     return build(dump_facts(lines(spark, path)))
 
 
-def read_script(spark: SparkSession, path: str | list[str]) -> CallGraph:
-    return build(script_facts(lines(spark, path)))
+def read_script(spark: SparkSession, path: str | list[str], strict: bool = False) -> CallGraph:
+    """The graph of command scripts. strict: facts that a command line would refuse (see `rejected`) and unknown lines raise ValueError."""
+    text = lines(spark, path)
+    found = script_facts(text)
+    wrong = rejected(found).limit(5).collect() if strict else []
+    if wrong:
+        raise ValueError("; ".join(f"edge from a caller that isn't defined yet: {r['name']}" if r["kind"] == "edge" else f"external node with a file: {r['name']}" for r in wrong))
+    return replay(build(found), text, strict)
 
 
 def read_tables(spark: SparkSession, path: str) -> CallGraph:

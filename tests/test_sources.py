@@ -92,6 +92,37 @@ def test_report_of_script(spark, tmp_path):
     assert got == {"Pipe::pump": "reader, writer", "Pipe::~Pipe": "Pipe::pump", "writer": "writer"}
 
 
+def test_script_commands(spark, tmp_path):
+    def read(text, strict=False):
+        (tmp_path / "c.txt").write_text(text)
+        return readers.read_script(spark, str(tmp_path / "c.txt"), strict)
+
+    facts = "node boot main.c\nnode tick timer.c\nnode idle\nedge boot tick\nedge tick idle ref\nlabel hot tick idle\n# omit boot\n"
+    g = read(facts + 'label warm [hot, !"idle"]\nomit boot\n')
+    names = dict(g.nodes.select("id", "name").collect())
+    assert {names[r["id"]] for r in g.labeled_nodes("warm").select("id").collect()} == {"tick"}
+    assert {names[r["id"]] for r in g.labeled_nodes("hot").select("id").collect()} == {"tick", "idle"}
+    by_hand = views.omit(readers.build(readers.script_facts(readers.lines(spark, str(tmp_path / "c.txt")))), g.nodes.where("name = 'boot'"))
+    assert sorted(map(tuple, g.viewed().collect()), key=repr) == sorted(map(tuple, by_hand.viewed().collect()), key=repr)
+    g = read(facts + "omit boot\nonly --callees tick\nreset\n")
+    assert g.labels.count() == 0 and sorted(map(tuple, g.viewed().collect()), key=repr) == sorted(map(tuple, g.reset_filter().viewed().collect()), key=repr)
+    for wrong in ("omit\n", "reset boot\n", "keep --labels boot\n"):
+        with pytest.raises(ValueError, match="not a command"):
+            read(facts + wrong)
+    with pytest.raises(ValueError, match="not a command"):
+        read(facts + "paint boot\n", strict=True)
+    read("edge late idle\nnode late\n")
+    with pytest.raises(ValueError, match="late"):
+        read("edge late idle\nnode late\n", strict=True)
+
+
+def test_first_definition_by_path(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"s{i:02d}.txt").write_text(f"node shared f{i}.c\n")
+    g = readers.read_script(spark, str(tmp_path / "*.txt"))
+    assert [r["file"] for r in g.nodes.collect()] == ["f0.c"]
+
+
 def test_compile_database(spark, tmp_path):
     entry = {"directory": "/w", "command": "cc -std=c99 -DX='a b' -c test.c", "file": "test.c", "output": "test.o"}
     (tmp_path / "db.json").write_text(json.dumps([entry | {"command": "old"}, entry, entry | {"output": "/abs/o.o"}]))
