@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, packing, pii, quality, simhash, token_output, topk, toxicity, warc
+from . import bpe, dedup, packing, pii, quality, sharding, simhash, token_output, topk, toxicity, warc
 from .common import scratch, ship
 
 
@@ -64,7 +64,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "doc_score", "host_quality", "path_quality", "score", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk, op3_exact_dedup, op4_token_output, op5_packing, op6_pii, op7_byte_bpe, op8_simhash, op9_warc, op10_quality)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path, layout = table(spark, sf_dir, "documents"), scratch(spark, "shards"), sharding.grid(regions=5, racks=4, each=2)
+    sharding.write_shards(docs, path, layout)
+    return sharding.digests(spark, path, docs.schema, grown=sharding.joined(layout, "region-0", "rack-0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk, op3_exact_dedup, op4_token_output, op5_packing, op6_pii, op7_byte_bpe, op8_simhash, op9_warc, op10_quality, op11_sharding)}
 SQL: dict[str, str] = {
     "op2_topk": """
         WITH t AS (

@@ -1,0 +1,121 @@
+"""Shards of a hash tree against the same draws in loops."""
+
+import math
+import tempfile
+import zlib
+from collections import Counter
+from dataclasses import replace
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from callweave.llm import queries, sharding
+from callweave.llm.sharding import grid, joined, placed
+
+
+def of(path, key):
+    return xxhash.xxh64_intdigest(path.encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+
+
+def draw(path, weight, key):
+    return -math.log(((of(path, key) >> 11) + 0.5) / 2**53) / weight
+
+
+def by_loops(key, layout):
+    key = "~" if key is None else f"={key}"
+    own = list(layout)
+    for level in (lambda s: f"{s.branch}/{s.region}", lambda s: f"{s.branch}/{s.region}/{s.rack}", lambda s: f"{s.branch}/{s.region}/{s.rack}/{s.shard}"):
+        weight = Counter()
+        for s in own:
+            weight[level(s)] += s.weight
+        best = min(weight, key=lambda p: draw(p, weight[p], key))
+        own = [s for s in own if level(s) == best]
+    return own[0].shard
+
+
+def shards(spark, ids, layout, kind="long"):
+    rows = spark.createDataFrame([(i,) for i in ids], f"id {kind}")
+    return [r[0] for r in rows.select(placed(F.col("id"), layout)).collect()]
+
+
+def test_draws(spark):
+    uneven = (*grid(2, 3, 2), sharding.Shard(12, "region-0", "rack-2", 3.5), sharding.Shard(13, "region-9", "rack-0", 0.25))
+    ids = [*range(300), None]
+    assert shards(spark, ids, uneven) == [by_loops(i, uneven) for i in ids]
+    assert shards(spark, ["", "a", None], uneven, "string") == [by_loops(i, uneven) for i in ["", "a", None]]
+
+
+def test_shares_follow_weights(spark):
+    layout = (*grid(2, 2, 2), sharding.Shard(8, "region-1", "rack-1", 4.0))
+    found = Counter(shards(spark, range(24_000), layout))
+    assert all(abs(found[s.shard] / 2000 / s.weight - 1) < 0.1 for s in layout)
+
+
+@pytest.mark.parametrize("more", [1, 2, 3])
+def test_a_new_shard_takes_rows_only_into_itself(spark, more):
+    old = grid(5, 4, 2)
+    for k in range(more - 1):
+        old = joined(old, f"region-{k}", "rack-0")
+    new = joined(old, "region-0", "rack-0")
+    a, b = shards(spark, range(8000), old), shards(spark, range(8000), new)
+    moved = [y for x, y in zip(a, b, strict=True) if x != y]
+    assert set(moved) == {new[-1].shard} and 0.6 < len(moved) * len(new) / 8000 < 1.5
+
+
+def test_movement_stays_in_changed_subtrees(spark):
+    old = grid(3, 3, 2)
+    new = tuple(replace(s, weight=3.0) if s.shard == 4 else s for s in old)
+    where = {s.shard: (s.region, s.rack) for s in old}
+    changed = where[4]
+    for x, y in zip(shards(spark, range(6000), old), shards(spark, range(6000), new), strict=True):
+        if x != y:
+            assert where[y][0] == changed[0]
+            assert where[x][0] != changed[0] or where[y] == changed
+            assert where[x] != changed or y == 4
+
+
+def test_layouts(spark):
+    with pytest.raises(ValueError):
+        placed(F.col("id"), ())
+    with pytest.raises(ValueError):
+        placed(F.col("id"), (sharding.Shard(0, "a", "b", 0.0),))
+
+
+def test_files(spark):
+    rows = [(i, "é" * (i % 7), "x") for i in range(200)] + [(7, "copy", "x")] * 300 + [(None, "no id", None), (None, None, "x"), (501, None, None), (502, "", "y"), (503, "long " * 100_000, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(5)
+    path = tempfile.mkdtemp(prefix="spark-") + "/shards"
+    layout = grid(2, 2, 3)
+    sharding.write_shards(docs, path, layout)
+    whole = sharding.read_shards(spark, path, docs.schema).select("row.*", F.col("shard").alias("at")).collect()
+    assert Counter((r[0], r[1], r[2]) for r in whole) == Counter(rows)
+    found = sharding.digests(spark, path, docs.schema, joined(layout, "region-0", "rack-0")).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    for r in found:
+        assert r.shard == by_loops(r.doc_id, layout) and r.grown_shard == by_loops(r.doc_id, joined(layout, "region-0", "rack-0"))
+    for n in {r.shard for r in found}:
+        own = sorted(r.slot for r in found if r.shard == n)
+        assert own == list(range(len(own)))
+
+
+def test_empty(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    path = tempfile.mkdtemp(prefix="spark-") + "/shards"
+    sharding.write_shards(docs, path, grid(1, 1, 2))
+    assert sharding.digests(spark, path, docs.schema, grid(1, 1, 2)).collect() == []
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    found = queries.op11_sharding(spark, sf).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    layout = grid(5, 4, 2)
+    grown = joined(layout, "region-0", "rack-0")
+    for r in found:
+        assert (r.size, r.text_crc32, r.law) == (len(docs[r.doc_id].encode()) + 16, zlib.crc32(docs[r.doc_id].encode()), "key")
+        assert (r.shard, r.grown_shard) == (by_loops(r.doc_id, layout), by_loops(r.doc_id, grown))
+    for n in {r.shard for r in found}:
+        own = sorted(r.slot for r in found if r.shard == n)
+        assert own == list(range(len(own)))
