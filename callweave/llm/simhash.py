@@ -231,9 +231,13 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "
     Exact copies and equal fingerprints are one node from the start, so large groups of copies cost one row.
     """
     base = written(fingerprints(docs, size, id_col, text_col, tag).withColumn("hex", F.lpad(F.lower(F.hex("fp")), 16, "0")), "fingerprints")
-    nodes = written(base.groupBy("fp", "hex").agg(F.min("id").cast("long").alias("id"), F.count("*").alias("size")), "nodes")
-    found = components(links(nodes.where("id is not null").select("id", "fp"), radius, most))
-    named = nodes.join(found, "id", "left").select("hex", "size", F.coalesce("component", "id").alias("component_id"))
+    nodes = written(base.groupBy("fp", "hex").agg(F.min("id").cast("long").alias("least"), F.count("*").alias("size")), "nodes")
+    # A node goes by its fingerprint, as an id may belong to several.
+    found = components(links(nodes.where("least is not null").select(F.col("fp").alias("id"), "fp"), radius, most))
+    own = nodes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("k", F.coalesce("component", "fp").cast("string"))
+    own = written(own.select("hex", "size", "least", "k"), "components")
+    least = written(own.groupBy("k").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    named = spread_join(own, least, "k", "n", F.col("hex")).select("hex", "size", "component_id")
     out = spread_join(base.select("id", "tag", "hex"), written(named, "named"), "hex", "size", F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("hex").alias("fingerprint"), "component_id", *(["tag"] if tag is not None else []))
 

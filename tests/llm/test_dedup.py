@@ -127,6 +127,19 @@ def test_near_groups(spark, most):
     assert len(set(of)) < 60
 
 
+def test_near_groups_of_repeated_ids(spark):
+    """An id with two unlike texts doesn't join what is near to each of them."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
+    a, b = " ".join(words), " ".join(words[::-1])
+    near = next(t for t in (" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in range(600)) if 0 < bin(plain_fingerprint(t) ^ plain_fingerprint(a)).count("1") <= 2)
+    assert bin(plain_fingerprint(a) ^ plain_fingerprint(b)).count("1") > 6
+    rows = [(1, a), (1, b), (0, near), (7, b), (7, a), (7, a)]
+    found = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, f"{plain_fingerprint(t):016x}", 1 if t == b else 0) for i, t in rows]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_large_run():
     """Pivots find the same parts as all pairs, chains included."""
     rng = np.random.default_rng(3)
