@@ -52,9 +52,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
+_passing: list[list[str]] = []
+
+
+class passing:
+    """Tables that `written` makes inside are deleted at the end, but for those it is told to keep; those go with what is around, if anything."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        _passing.append([])
+
+    def __exit__(self, *error) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _passing.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(os.path.dirname(path))
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, survives lost executors. keep: see `passing`."""
     path = scratch(df.sparkSession, name)
+    if len(_passing) > keep:
+        _passing[-1 - keep].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -83,28 +104,38 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BA
             at = to
 
 
-#: Bytes of keys that spread_join broadcasts at most.
+#: Bytes of rows, as JSON, that spread_join broadcasts at most, and the parts that it cuts a hot key's rows into beyond that.
 BROADCAST_BYTES = 64 << 20
+SALTS = 64
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, hot: int | None = None) -> DataFrame:
     """rows left-joined with groups (one row for each key), where a few keys may hold most of the rows.
 
     size names the column of groups with the number of rows of a key; key is a string column. Keys with
-    at least one in `hot` of all counted rows (by default the session's shuffle partitions, 256 at least) are `hot` at most, so
-    those are broadcast, unless keys are so long that they could pass BROADCAST_BYTES; the others are shuffled. Rows that are
-    matched by then are dealt out by the column spread instead of their key.
+    at least one in `hot` of all counted rows (by default the session's shuffle partitions, 256 at least) are `hot` at most. Their groups are
+    broadcast if all of their columns come to BROADCAST_BYTES at most, and repeated for SALTS parts of their rows otherwise; only if the hot
+    keys alone are longer than that, nothing is told apart. The others are shuffled by their key, rows that are matched by then by the column spread.
     """
     hot = hot or max(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    total, longest = groups.agg(F.sum(size), F.max(F.octet_length(key))).first()
-    if hot * (longest or 0) > BROADCAST_BYTES:
-        return rows.join(groups, key, "left")
-    total = total or 0
+    total = groups.agg(F.sum(size)).first()[0] or 0
     own = [c for c in groups.columns if c != key]
-    often = groups.select(key, *(F.col(c).alias(f"_hot_{c}") for c in own), F.lit(True).alias("_hot")).where(F.col(f"_hot_{size}") * hot >= total)
+    many = groups.where(F.col(size) * hot >= total)
+    keys, whole = many.agg(F.sum(F.octet_length(key)), F.sum(F.octet_length(F.to_json(F.struct(*groups.columns))))).first()
+    if (keys or 0) > BROADCAST_BYTES:
+        return rows.join(groups, key, "left")
     rest = groups.where(F.col(size) * hot < total).select(F.col(key).alias("_key"), *own)
+    salt = F.xxhash64(spread)
+    if (whole or 0) > BROADCAST_BYTES:
+        part = lambda c: F.concat(F.lit("~"), c.cast("string"), F.lit(":"), F.col(key))
+        parts = many.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")).select(part(F.col("_salt")).alias("_key"), *own)
+        found = rows.join(F.broadcast(many.select(key, F.lit(True).alias("_hot"))), key, "left")
+        found = found.withColumn("_key", F.when(F.col("_hot"), part(F.pmod(salt, F.lit(SALTS)))).otherwise(F.concat(F.lit("="), key)))
+        every = parts.unionByName(rest.withColumn("_key", F.concat(F.lit("="), "_key")))
+        return found.join(every, "_key", "left").select(*rows.columns, *own)
+    often = many.select(key, *(F.col(c).alias(f"_hot_{c}") for c in own), F.lit(True).alias("_hot"))
     found = rows.join(F.broadcast(often), key, "left")
-    dealt = F.when(F.col("_hot"), F.concat(F.lit("~"), F.xxhash64(spread).cast("string"))).otherwise(F.col(key))
+    dealt = F.when(F.col("_hot"), F.concat(F.lit("~"), salt.cast("string"))).otherwise(F.col(key))
     found = found.withColumn("_key", dealt).join(rest, "_key", "left")
     return found.select(*rows.columns, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in own))
 
@@ -129,8 +160,8 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
-    """docs without the rows whose key is in dropped, a table of one column. A checked small number of keys is broadcast, so that texts stay where they are."""
+    """docs without the rows whose key is in dropped, a table of one column. A checked small number of keys is broadcast, so that texts stay where they are. Inside `passing`, their table is kept."""
     name = free_name(docs, "drop")
-    dropped = written(dropped.toDF(name).distinct(), "dropped")
+    dropped = written(dropped.toDF(name).distinct(), "dropped", keep=True)
     few = dropped.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(dropped) if few else dropped, key == F.col(name), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import passing, spread_join, written
 
 
 def _nearest(links: DataFrame) -> DataFrame:
@@ -24,9 +24,14 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Alternates two steps until nothing changes: larger neighbours are linked to the least neighbour,
     then smaller ones. Links only shrink towards stars, in a number of rounds logarithmic in the longest
-    chain; every round is a table in the shared folder. Ids are of an integer type. Links with a null end
+    chain; every round is a table in the shared folder, deleted once the result, itself a table there, is written. Ids are of an integer type. Links with a null end
     and links of an id with itself say nothing and are dropped; no links give no rows.
     """
+    with passing(links.sparkSession):
+        return written(_settled(links, most_rounds), "components", keep=True)
+
+
+def _settled(links: DataFrame, most_rounds: int) -> DataFrame:
     links = links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u"), "a", "b").where("a <> b").select("u", "v").distinct()
     links = written(links, "links")
     state = None

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import close_pairs, join_runs
-from .common import BROADCAST_ROWS, slices, spread_join, written
+from .common import BROADCAST_ROWS, passing, slices, spread_join, written
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -257,9 +257,11 @@ def differing(similarity: float, slack: float = 7.7) -> int:
 MOST_IN_BAND = 64
 #: Rounds of pivots for those, and rows of a key that a task then holds.
 PIVOTS = 3
-SLICE = 2048
-#: Pairs of a row with each other component in a slice that are compared first.
-NEAREST = 2
+SLICE = 8192
+#: Shingles of the rows of a slice, so that long texts make smaller ones.
+SLICE_HASHES = 1 << 22
+#: Members of a slice whose sets a row is compared with at once.
+NEAR = 64
 #: Least hashes in a band: pairs of similarity s share one with the chance s ** BAND, whatever the number of documents.
 BAND = 5
 
@@ -316,10 +318,10 @@ def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
     hot: (key, node, w0, ...), the rows of keys that many nodes share; nodes: (node, w0, ...). In a round each key's rows are held
     against one pivot, which joins most of a group of near copies at a comparison each. What the rounds leave apart from
     a key's largest component is then compared with every row of the key in another component, in slices of a
-    key's rows dealt to as many tasks, first by its nearest pairs and, where those joined nothing, by all; a row's component only grows, so pairs inside one need no comparison.
+    key's rows dealt to as many tasks; a slice hands on only links that join components, so no more than it has rows.
     """
+    spark = hot.sparkSession
     cols, radius = [c for c in nodes.columns if c.startswith("w")], differing(similarity)
-    spec = ", ".join(f"{c} long" for c in cols)
 
     def parted(rows: DataFrame) -> DataFrame:
         """Rows of each key that aren't in its largest component; counted by key and component, then by key."""
@@ -328,83 +330,119 @@ def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
         main = written(main.where("parts > 1").select(F.col("key").cast("string").alias("k"), "main", "size"), "main")
         return spread_join(rows.withColumn("k", F.col("key").cast("string")), main, "k", "size", F.col("node")).where("main is not null")
 
-    def with_component(rows: DataFrame) -> DataFrame:
-        """rows with their components; the links found so far become the components' stars, so that the next rounds start from those."""
-        nonlocal found
-        own = written(components(found), "components")
-        found = own.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        labelled = nodes.select("node").join(own.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        return written(rows.join(labelled, "node"), "hot-rows")
+    def labelled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The components' stars, which stand for the links so far, and the hot rows with their components."""
+        with passing(spark):
+            own = components(found)
+            stars = written(own.select(F.col("id").alias("a"), F.col("component").alias("b")), "stars", keep=True)
+            named = nodes.select("node").join(own.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            return stars, written(hot.join(named, "node"), "hot-rows", keep=True)
 
-    rows = with_component(hot)
-    for turn in range(rounds):
+    def met(rows: DataFrame, turn: int) -> DataFrame | None:
+        """Links between a pivot of each key and the key's rows in other components; None once no key has several."""
         apart = written(parted(rows), "apart")
         # The first pivot is the node of the least hash, the same in most keys of a group; later ones come from what is apart.
         order = F.xxhash64("node", F.lit(turn))
-        pivots = apart.where("component <> main" if turn else "true").groupBy("k").agg(F.min(F.struct(order.alias("o"), "node", "component", *cols)).alias("p"), F.count("*").alias("size"))
-        sizes = apart.groupBy("k").agg(F.count("*").alias("all_rows"))
-        pivots = written(pivots.drop("size").join(sizes, "k").withColumnRenamed("all_rows", "n"), "pivots")
+        pivots = apart.where("component <> main" if turn else "true").groupBy("k").agg(F.min(F.struct(order.alias("o"), "node", "component", *cols)).alias("p"))
+        sizes = apart.groupBy("k").agg(F.count("*").alias("n"))
+        pivots = written(pivots.join(sizes, "k"), "pivots")
         if not pivots.head(1):
-            break
-        met = spread_join(apart.select("k", "node", "component", *cols), pivots, "k", "n", F.col("node"))
+            return None
+        near = spread_join(apart.select("k", "node", "component", *cols), pivots, "k", "n", F.col("node"))
         bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in cols), F.lit(0))
-        pairs = met.where("component <> p.component").where(bits <= radius).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-        found = written(found.unionByName(alike(pairs, sets, similarity)), "links")
-        rows = with_component(hot)
-
-    def crossed(nearest: int | None):
-        """A probe's pairs with the members of its slices in other components: all that are bit-close, or for each component the nearest ones."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            group, members = None, []  # a slice's rows, at most about `part`, come before the rows that look for links in it
-
-            for batch in batches:
-                key = list(zip(batch.column("k").to_pylist(), batch.column("slice").to_pylist(), strict=True))
-                probing = batch.column("probe").to_numpy(zero_copy_only=False)
-                component, node = batch.column("component").to_numpy(), batch.column("node").to_numpy()
-                words = np.stack([batch.column(c).to_numpy() for c in cols], axis=1).view(np.uint64)
-                cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1] or probing[i] != probing[i - 1]), len(key)]
-                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    if s == e:
-                        continue
-                    if key[s] != group:
-                        group, members = key[s], []
-                    if not probing[s]:
-                        members.append((component[s:e], node[s:e], words[s:e]))
-                        continue
-                    held = [np.concatenate(x) for x in zip(*members, strict=True)] if members else None
-                    members = [tuple(held)] if members else []
-                    for at in range(s, e if held else s, 64):
-                        to = min(at + 64, e)
-                        bits = np.zeros((to - at, len(held[1])), np.uint16)
-                        for w in range(len(cols)):
-                            bits += np.bitwise_count(words[at:to, w, None] ^ held[2][None, :, w])
-                        i, j = np.nonzero((bits <= radius) & (component[at:to, None] != held[0][None, :]))
-                        if nearest and len(i):
-                            order = np.lexsort((bits[i, j], held[0][j], i))
-                            i, j = i[order], j[order]
-                            start = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (held[0][j[1:]] != held[0][j[:-1]])]))
-                            place = np.arange(len(i)) - np.repeat(start, np.diff(np.concatenate([start, [len(i)]])))
-                            i, j = i[place < nearest], j[place < nearest]
-                        a, b = np.sort(np.stack([node[at:to][i], held[1][j]]), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        return run
-
-    # The nearest pairs first: they join most of what belongs together, so that few rows are left for all pairs.
-    for nearest in (NEAREST, None):
-        apart = written(parted(rows), "apart")
-        if apart.isEmpty():
-            return found
-        slices_of = F.ceil(F.col("size") / part).cast("int")
-        mine = apart.select("k", F.pmod(F.xxhash64("node"), slices_of).cast("int").alias("slice"), F.lit(False).alias("probe"), "component", "node", *cols)
-        probe = apart.where("component <> main").select("k", F.explode(F.sequence(F.lit(0), slices_of - 1)).alias("slice"), F.lit(True).alias("probe"), "component", "node", *cols)
-        dealt = mine.unionByName(probe).repartition("k", "slice").sortWithinPartitions("k", "slice", "probe")
-        pairs = dealt.select("k", "slice", "probe", "component", "node", *cols).mapInArrow(crossed(nearest), "a long, b long")
-        found = written(found.unionByName(alike(pairs, sets, similarity)), "links")
-        if nearest:
-            rows = with_component(hot)
-    return found
+        return alike(near.where("component <> p.component").where(bits <= radius).select(F.col("p.node").alias("a"), F.col("node").alias("b")), sets, similarity)
+
+    found, rows = labelled(found)
+    for turn in range(rounds):
+        with passing(spark):
+            more = met(rows, turn)
+            found = written(found.unionByName(more), "links", keep=True) if more else found
+        if not more:
+            break
+        found, rows = labelled(found)
+
+    apart = written(parted(rows), "apart")
+    if apart.isEmpty():
+        return found
+    own = sets.join(apart.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    apart = apart.join(own, "node")
+    weight = apart.groupBy("k").agg(F.count("*").alias("rows"), F.sum(F.size("shingles")).alias("held"))
+    weight = written(weight.select("k", "rows", F.ceil(F.greatest(F.col("rows") / part, F.col("held") / SLICE_HASHES)).cast("int").alias("slices")), "slices")
+    apart = spread_join(apart, weight, "k", "rows", F.col("node"))
+    held = ("component", "node", *cols, "shingles")
+    mine = apart.select("k", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), F.lit(False).alias("probe"), *held)
+    probe = apart.where("component <> main").select("k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("probe"), *held)
+    dealt = mine.unionByName(probe).repartition("k", "slice").sortWithinPartitions("k", "slice", "probe")
+    return found.unionByName(dealt.select("k", "slice", "probe", *held).mapInArrow(_crossed(cols, radius, similarity), "a long, b long"))
+
+
+class Slice:
+    """Some rows of a key, against which others are held; what turns out alike is one component from then on."""
+
+    def __init__(self, component: np.ndarray, node: np.ndarray, words: np.ndarray, shingles: list[np.ndarray]):
+        self.component, self.node, self.words, self.shingles = component, node, words, shingles
+        self.sizes = np.array([len(x) for x in shingles])
+        self.up: dict[int, int] = {}
+
+    def top(self, component: int) -> int:
+        while component in self.up:
+            component = self.up[component]
+        return component
+
+    def links(self, component: int, node: int, words: np.ndarray, shingles: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+        """Pairs of a row with members that join its component with others, the nearest members first."""
+        bits = np.bitwise_count(self.words ^ words).sum(axis=1, dtype=np.int64)
+        n = len(shingles)
+        own = self.top(component)
+        fits = (bits <= radius) & (self.component != own) & (np.minimum(self.sizes, n) >= similarity * np.maximum(self.sizes, n) - 1e-9) & (self.sizes > 0)
+        near = np.flatnonzero(fits)
+        near = near[np.argsort(bits[near], kind="stable")]
+        out = []
+        while len(near):
+            some, near = near[:NEAR], near[NEAR:]
+            sets = np.concatenate([self.shingles[j] for j in some])
+            at = np.minimum(np.searchsorted(shingles, sets), n - 1)
+            starts = np.cumsum(self.sizes[some]) - self.sizes[some]
+            both = np.add.reduceat((shingles[at] == sets).astype(np.int64), starts)
+            for j in some[both >= similarity * (self.sizes[some] + n - both) - 1e-9]:
+                other = int(self.component[j])
+                if other != own:
+                    out.append((min(node, int(self.node[j])), max(node, int(self.node[j]))))
+                    self.up[own] = other
+                    self.component[self.component == own] = other
+                    own = other
+            near = near[self.component[near] != own]
+        return out
+
+
+def _crossed(cols: list[str], radius: int, similarity: float):
+    """Links of probing rows with a slice's members, which come before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, waiting, held = None, [], None
+        for batch in batches:
+            keys = list(zip(batch.column("k").to_pylist(), batch.column("slice").to_pylist(), strict=True))
+            probing = batch.column("probe").to_numpy(zero_copy_only=False)
+            component, node = batch.column("component").to_numpy(), batch.column("node").to_numpy()
+            words = np.stack([batch.column(c).to_numpy() for c in cols], axis=1).view(np.uint64)
+            flat, ends = batch.column("shingles").flatten().to_numpy().view(np.uint32), np.cumsum(batch.column("shingles").value_lengths().to_numpy())
+            sets = np.split(flat, ends[:-1])
+            out = []
+            for r in range(batch.num_rows):
+                if keys[r] != group:
+                    group, waiting, held = keys[r], [], None
+                if not probing[r]:
+                    waiting.append((component[r], node[r], words[r], sets[r].copy()))
+                    continue
+                if held is None and waiting:
+                    c, i, w, s = zip(*waiting, strict=True)
+                    held, waiting = Slice(np.array(c), np.array(i), np.stack(w), list(s)), []
+                if held is not None and len(sets[r]):
+                    out += held.links(int(component[r]), int(node[r]), words[r], sets[r], radius, similarity)
+            a, b = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None, most: int = MOST_IN_BAND) -> DataFrame:
@@ -479,10 +517,13 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     often = written(keyed.groupBy("key").count().where(F.col("count") > most).select("key"), "hot-keys")
     few = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
     dealt = keyed.join(few, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node")
-    found = written(alike(dealt.select("key", "node", *cols).mapInArrow(compared, "a long, b long"), sets, similarity), "links")
+    spark = docs.sparkSession
+    with passing(spark):
+        found = written(alike(dealt.select("key", "node", *cols).mapInArrow(compared, "a long, b long"), sets, similarity), "links", keep=True)
     if often.head(1):
-        hot = written(keyed.join(few, "key"), "hot")
-        found = written(hot_links(hot, some, sets, found, similarity), "links")
+        with passing(spark):
+            hot = written(keyed.join(few, "key"), "hot")
+            found = written(hot_links(hot, some, sets, found, similarity), "links", keep=True)
     grouped = _labelled(nodes.select("node", "least", "size"), found)
     best = grouped.groupBy("component").agg(F.min("least").alias("best"))
     named = grouped.join(best, "component").select(F.col("node").cast("string").alias("k"), "size", "best")

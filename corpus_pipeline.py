@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import dedup, packing, pii, quality, simhash
-from callweave.llm.common import free_name, row_key, ship, without, written
+from callweave.llm.common import free_name, passing, row_key, ship, without, written
 
 
 #: Bytes of words that a worker remembers while packing; fewer than elsewhere, as executors still hold what the stages before needed.
@@ -38,8 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and wordless texts are alike. Rows without an id come after all others; of different texts with one id the
     least by their hash stays, rows that repeat id and text stay or go together. No rows give no rows.
     """
-    groups = simhash.similar_groups(docs, size=5, similarity=0.8, tag=row_key())
-    return without(docs, groups.where("not kept").select("tag"), row_key())
+    with passing(spark):
+        groups = simhash.similar_groups(docs, size=5, similarity=0.8, tag=row_key())
+        return without(docs, groups.where("not kept").select("tag"), row_key())
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

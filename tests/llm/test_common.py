@@ -9,8 +9,10 @@ import __spark_entry__ as entry
 from callweave.llm import common
 
 
+@pytest.mark.parametrize("most", [64 << 20, 20, 3], ids=["broadcast", "salted", "plain"])
 @pytest.mark.parametrize("hot", [256, 2, 1])
-def test_spread_join(spark, hot):
+def test_spread_join(spark, hot, most, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     rows = spark.range(900).select("id", F.when(F.col("id") < 600, "often").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"))
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("key <> 'k7'")
     found = common.spread_join(rows, groups, "key", "n", F.col("id"), hot).collect()
@@ -34,6 +36,20 @@ def test_hot_rows_are_dealt_out(spark):
     assert len(parts) == 8 and max(r["count"] for r in parts) < 700
 
 
+def test_passing(spark):
+    with common.passing(spark):
+        with common.passing(spark):
+            kept, gone = common.written(spark.range(3), "kept", keep=True), common.written(spark.range(4), "gone")
+            assert gone.count() == 4
+        assert kept.count() == 3
+        with pytest.raises(Exception, match="(?i)not_exist|not exist"):
+            spark.read.parquet(*gone.inputFiles()).count()
+        last = common.written(kept, "last", keep=True)
+    assert last.count() == 3
+    with pytest.raises(Exception, match="(?i)not_exist|not exist"):
+        spark.read.parquet(*kept.inputFiles()).count()
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_without(spark, few, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", few)
@@ -54,5 +70,5 @@ def test_ship(spark, monkeypatch):
 
 def test_names():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
