@@ -21,7 +21,7 @@ class CallGraph:
 
     marks (MARKS) holds what commands have said of single nodes: keep and omitted decide on visibility,
     no_callers and no_callees hide all edges into or out of a node. default is the visibility of nodes without a
-    mark. Without marks no join is planned for them.
+    mark. Without marks no join is planned for them. rejects (ord, file, line, reason), if any, is what its reader refused.
     """
 
     nodes: DataFrame
@@ -29,6 +29,7 @@ class CallGraph:
     labels: DataFrame
     marks: DataFrame | None = None
     default: bool = True
+    rejects: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import display, kind, quoted
 from ..graph import CallGraph
 from ..operators.neighbours import callees
+from ..plans.commits import commit, latest, unused
 
 
 def _word(c: Column, bare: str = r"^[^\s\"#]+$") -> Column:
@@ -73,6 +74,10 @@ def save_dot(graph: CallGraph, path: str, external_ok: bool = False, ref_ok: boo
 
 
 def save_tables(graph: CallGraph, path: str) -> None:
-    """The whole graph without loss (the view apart)."""
+    """The whole graph without loss (the view apart). Its tables become visible together, once all are written; a writer that fails leaves the last graph."""
+    spark = graph.spark
+    number, _ = latest(spark, path)
+    data = unused(path)
     for name in ("nodes", "edges", "labels"):
-        getattr(graph, name).write.parquet(f"{path}/{name}")
+        getattr(graph, name).write.parquet(f"{data}/{name}")
+    commit(spark, path, number + 1, {"data": data})

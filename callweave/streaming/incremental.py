@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..graph import CallGraph
-from ..sources.facts import FACTS, build
-from ..sources.readers import script_facts
+from ..sources.readers import located, numbered_lines, script_source
+from ..sources.store import Store
 
 
 def script_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts of the scripts that arrive in a folder, as a stream."""
-    whole = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return script_facts(whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "value")))
+    """The lines of the scripts that arrive in a folder, as a stream."""
+    return located(spark.readStream.text(folder))
 
 
 def collect_facts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write what has arrived to the fact table at path, each fact once, and stop."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Load what has arrived into the `Store` at path and stop. A batch's files follow one another by their paths, after those of earlier batches; commands
+    act on the graph of the lines before them. A batch is loaded once, also if it is tried again after a failure."""
+
+    def loaded(batch: DataFrame, number: int) -> None:
+        Store(batch.sparkSession, path).load(script_source(numbered_lines(batch)), (checkpoint, number))
+
+    return stream.writeStream.foreachBatch(loaded).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str) -> CallGraph:
-    """The graph of all facts so far."""
-    return build(spark.read.schema(FACTS).parquet(path))
+    """The graph of all that was loaded so far."""
+    return Store(spark, path).graph()

@@ -102,13 +102,14 @@ def test_script_commands(spark, tmp_path):
     names = dict(g.nodes.select("id", "name").collect())
     assert {names[r["id"]] for r in g.labeled_nodes("warm").select("id").collect()} == {"tick"}
     assert {names[r["id"]] for r in g.labeled_nodes("hot").select("id").collect()} == {"tick", "idle"}
-    by_hand = views.omit(readers.build(readers.script_facts(readers.lines(spark, str(tmp_path / "c.txt")))), g.nodes.where("name = 'boot'"))
+    by_hand = views.omit(build(readers.script_facts(readers.lines(spark, str(tmp_path / "c.txt")))), g.nodes.where("name = 'boot'"))
     assert sorted(map(tuple, g.viewed().collect()), key=repr) == sorted(map(tuple, by_hand.viewed().collect()), key=repr)
     g = read(facts + "omit boot\nonly --callees tick\nreset\n")
     assert g.labels.count() == 0 and sorted(map(tuple, g.viewed().collect()), key=repr) == sorted(map(tuple, g.reset_filter().viewed().collect()), key=repr)
     for wrong in ("omit\n", "reset boot\n", "keep --labels boot\n"):
+        assert read(facts + wrong).rejects.count() == 1
         with pytest.raises(ValueError, match="not a command"):
-            read(facts + wrong)
+            read(facts + wrong, strict=True)
     with pytest.raises(ValueError, match="not a command"):
         read(facts + "paint boot\n", strict=True)
     read("edge late idle\nnode late\n")
