@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,14 +23,5 @@ def kind(is_call: Column | str = "is_call") -> Column:
     return F.when(F.col(is_call) if isinstance(is_call, str) else is_call, "call").otherwise("ref")
 
 
-def java_regex(pattern: str) -> str:
-    """A Python pattern in Java's syntax; patterns that Python rejects raise ValueError."""
-    try:
-        re.compile(pattern)
-    except re.error as e:
-        raise ValueError(f"invalid regular expression '{pattern}': {e}") from e
-    return pattern.replace("(?P<", "(?<").replace("\\Z", "\\z")
-
-
 def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), text, F.lit('"'))

@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import CallGraph
-from ..plans.tables import written
+from ..plans.tables import fixpoint, written
 
 
 def reach(edges: DataFrame, start: DataFrame, backwards: bool = False) -> DataFrame:
     """(id): the start nodes and all that edges (src, dst) lead to, or come from.
 
-    Semi-naive: each round joins only the last round's new nodes with the edges; every
-    round is a table in the shared folder, so a lost executor costs one round at most.
+    Semi-naive rounds (see `fixpoint`) join the nodes that the last one added with the edges, which are written once.
     """
     near, far = ("dst", "src") if backwards else ("src", "dst")
-    steps = written(edges.select(F.col(near).alias("id"), F.col(far).alias("next")).repartition("id"), "steps")
-    front = written(start.select("id").distinct(), "front")
-    seen = [front]
-    while not front.isEmpty():
-        known = reduce(DataFrame.unionByName, seen)
-        found = front.join(steps, "id").select(F.col("next").alias("id")).distinct()
-        front = written(found.join(known, "id", "left_anti"), "front")
-        seen.append(front)
-        if len(seen) > 8:
-            seen = [written(reduce(DataFrame.unionByName, seen), "seen")]
-    return reduce(DataFrame.unionByName, seen)
+    steps = written(edges.select(F.col(near).alias("id"), F.col(far).alias("next")), "steps")
+    return fixpoint(start.select("id"), lambda front: front.join(steps, "id").select(F.col("next").alias("id")))
 
 
 def all_callees(graph: CallGraph, ids: DataFrame) -> DataFrame:

@@ -1,164 +1,89 @@
-"""Regular simple paths: node sequences without repeats that match a pattern of selections."""
+"""Regular simple paths: node sequences without repeats that an automaton, or a pattern of selections, accepts."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import display
 from ..graph import CallGraph
-from ..plans.tables import written
-from .select import ALL, Plan, Selection
+from ..plans.tables import counted, fixpoint, written
+from .automata import ANY, Alt, Automaton, One, Pattern, Seq, Star, Table, automaton, classified
 
-#: Places in a pattern; a set of them is one long.
-MOST_PLACES = 62
+__all__ = ["ANY", "Alt", "Automaton", "One", "Pattern", "Seq", "Star", "automaton", "paths", "printed"]
 
+#: Paths at most in a front that is grown several nodes in one job.
+SMALL_FRONT = 1 << 15
+HOPS = 4
 
-class Pattern:
-    """Combine selections with One, Seq, Alt, Star; ANY stands for any nodes, none included."""
 
+def _live(nodes: DataFrame, edges: DataFrame, table: Table) -> DataFrame:
+    """(id, state): nodes and states after them from which some walk ends well; walks bound what paths can do.
 
-@dataclass(frozen=True)
-class One(Pattern):
-    selection: Selection
-
-
-@dataclass(frozen=True)
-class Seq(Pattern):
-    parts: tuple[Pattern, ...] = ()
-
-
-@dataclass(frozen=True)
-class Alt(Pattern):
-    parts: tuple[Pattern, ...] = ()
-
-
-@dataclass(frozen=True)
-class Star(Pattern):
-    part: Pattern
-
-
-ANY = Star(One(ALL))
-
-
-class Places:
-    """Which places (uses of One) of a pattern can come first, last, and after one another."""
-
-    def __init__(self, pattern: Pattern):
-        self.selections: list[Selection] = []
-        self.follow: list[int] = []
-        self.empty, self.first, self.last = self._read(pattern)
-        if len(self.selections) > MOST_PLACES:
-            raise ValueError(f"a pattern can name {MOST_PLACES} selections at most")
-
-    def _read(self, p: Pattern) -> tuple[bool, int, int]:
-        if isinstance(p, One):
-            self.selections.append(p.selection)
-            self.follow.append(0)
-            bit = 1 << (len(self.selections) - 1)
-            return False, bit, bit
-        if isinstance(p, Star):
-            _, first, last = self._read(p.part)
-            self._chain(last, first)
-            return True, first, last
-        if isinstance(p, Alt):
-            found = [self._read(x) for x in p.parts]
-            return any(e for e, _, _ in found) or not found, reduce(int.__or__, (f for _, f, _ in found), 0), reduce(int.__or__, (x for _, _, x in found), 0)
-        empty, first, last = True, 0, 0
-        for x in p.parts:
-            e, f, to = self._read(x)
-            self._chain(last, f)
-            first |= f if empty else 0
-            last = to | (last if e else 0)
-            empty &= e
-        return empty, first, last
-
-    def _chain(self, last: int, first: int) -> None:
-        for i in range(len(self.follow)):
-            if last >> i & 1:
-                self.follow[i] |= first
+    A backward fixpoint over edges and moves, both ways round at once.
+    """
+    enters = table.moves.select("cls", F.col("next").alias("state")).distinct()
+    ends = nodes.select("id", "cls").join(enters.where(table.ends(F.col("state"))), "cls").select("id", "state")
+    back = edges.select("src", "src_cls", F.col("dst").alias("id"), F.col("dst_cls").alias("cls"))
+    moves = table.moves.select("cls", F.col("state").alias("before"), F.col("next").alias("state"))
+    possible = enters.select(F.col("cls").alias("src_cls"), F.col("state").alias("before"))
 
-    def after(self, state: Column) -> Column:
-        """The places that may follow any of those in state."""
-        found = F.lit(0).cast("long")
-        for i, follow in enumerate(self.follow):
-            found = found.bitwiseOR(F.when(state.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(follow).cast("long")).otherwise(F.lit(0).cast("long")))
-        return found
+    def step(front: DataFrame) -> DataFrame:
+        found = front.join(back, "id").join(moves, ["cls", "state"])
+        return found.join(possible, ["src_cls", "before"], "left_semi").select(F.col("src").alias("id"), F.col("before").alias("state"))
 
-    def before(self, live: Column) -> Column:
-        """The places that any of those in live may follow."""
-        found = F.lit(0).cast("long")
-        for i, follow in enumerate(self.follow):
-            found = found.bitwiseOR(F.when(live.bitwiseAND(F.lit(follow).cast("long")) != 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-        return found
+    return fixpoint(ends, step)
 
 
-def _live(nodes: DataFrame, edges: DataFrame, places: Places) -> DataFrame:
-    """(id, fits): the places of a node from which some walk ends well; walks bound what paths can do.
+def paths(graph: CallGraph, pattern: Pattern | Automaton, external_ok: bool = False, ref_ok: bool = False, limit: int | None = None, most_nodes: int | None = None) -> DataFrame:
+    """(path, length): all simple paths over visible nodes whose whole sequence is accepted, as names from the first to the last.
 
-    A backward fixpoint over the edges; rounds are tables, and only nodes that have gained places go on.
-    """
-    own = nodes.select("id", "fits", F.col("fits").bitwiseAND(F.lit(places.last).cast("long")).alias("live"))
-    state = written(own, "live")
-    news = state.where("live <> 0").select("id", "live")
-    while True:
-        reached = news.join(edges.select("src", F.col("dst").alias("id")), "id").groupBy("src").agg(F.bit_or(places.before(F.col("live"))).alias("more"))
-        grown = state.join(reached.withColumnRenamed("src", "id"), "id", "left")
-        more = F.coalesce(F.col("more"), F.lit(0).cast("long")).bitwiseAND(F.col("fits"))
-        state = written(grown.select("id", "fits", F.col("live").bitwiseOR(more).alias("live"), (F.col("live").bitwiseOR(more) != F.col("live")).alias("new")), "live")
-        news = state.where("new").select("id", "live")
-        if news.isEmpty():
-            return state.where("live <> 0").select("id", F.col("live").alias("fits"))
-
-
-def paths(graph: CallGraph, pattern: Pattern, external_ok: bool = False, ref_ok: bool = False, limit: int | None = None, most_nodes: int | None = None) -> DataFrame:
-    """(path, length): all simple paths over visible nodes whose whole sequence matches, as names from the first to the last.
-
-    Paths are grown a node a round from all fitting starts at once; a row carries the set of places of the
-    pattern that it can be at, so a path is one row however many ways it matches. Starts and
-    steps that lead to no end are cut beforehand. limit keeps the shortest paths (ties by names) and stops
+    The automaton is determinised over the classes of nodes that its selections tell apart, so a path is one row however many ways it matches; one that
+    would grow too large for that keeps its own states, and paths are made distinct at the end. Pairs of a node and a state that lead to no end are
+    cut beforehand, what is left is one table of steps. Paths are grown from all starts at once. limit keeps the shortest paths (ties by names) and stops
     early; most_nodes raises an error if paths would grow beyond it, rather than cut them off.
     """
-    places = Places(pattern)
     spark = graph.spark
+    own = automaton(pattern)
     empty = "path array<string>, length int"
-    if (limit is not None and limit <= 0) or not places.selections:
+    if (limit is not None and limit <= 0) or not own.moves:
         return spark.createDataFrame([], empty)
-    plan = Plan(graph)
-    fits = F.lit(0).cast("long")
-    for i, s in enumerate(places.selections):
-        fits = fits.bitwiseOR(F.when(s.column(plan, False), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    nodes = plan.nodes.where(F.col("shown") & (F.lit(True) if external_ok else ~F.col("external")))
-    nodes = written(nodes.select("id", display().alias("name"), fits.alias("fits")).where("fits <> 0"), "fits")
+    nodes, table = classified(own, graph)
+    nodes = nodes.where(F.col("shown") & (F.lit(True) if external_ok else ~F.col("external"))).select("id", "name", "cls")
     edges = graph.open_edges() if ref_ok else graph.open_edges().where("is_call")
-    ends = nodes.select("id")
-    edges = written(edges.select("src", "dst").where("src <> dst").join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi"), "steps")
-    live = written(_live(nodes.select("id", "fits"), edges, places), "live")
-    steps = written(edges.join(live.withColumnRenamed("id", "dst"), "dst").select("src", "dst", "fits"), "steps")
-
-    start = F.col("fits").bitwiseAND(F.lit(places.first).cast("long"))
-    front = written(live.select(F.array("id").alias("ids"), F.col("id").alias("at"), start.alias("state")).where("state <> 0"), "front")
-    done, count, size = [], 0, 1
-    while not front.isEmpty():
-        ended = front.where(F.col("state").bitwiseAND(F.lit(places.last).cast("long")) != 0).select("ids")
-        done.append(ended)
-        if limit is not None:
-            count += ended.count()
-            if count >= limit:
-                break
+    end = lambda side: nodes.select(F.col("id").alias(side), F.col("cls").alias(f"{side}_cls"))
+    edges = written(edges.select("src", "dst").where("src <> dst").join(end("src"), "src").join(end("dst"), "dst"), "edges")
+    live = _live(nodes, edges, table)
+    arrive = live.select(F.col("id").alias("dst"), F.col("state").alias("next"))
+    moves = table.moves.select(F.col("cls").alias("dst_cls"), "state", "next")
+    steps = edges.join(live.withColumnRenamed("id", "src"), "src").join(moves, ["dst_cls", "state"]).join(arrive, ["dst", "next"], "left_semi")
+    steps = written(steps.select(F.col("src").alias("at"), "state", "dst", "next"), "steps")
+
+    start = table.moves.where(F.col("state").isin(table.start)).select("cls", F.col("next").alias("state")).distinct()
+    front = nodes.join(start, "cls").join(live, ["id", "state"], "left_semi").select(F.array("id").alias("ids"), F.col("id").alias("at"), "state")
+    front, seen = counted(front, "front")
+    done, count, size = [front], 0, 1
+    ended = F.count_if(table.ends(F.col("state")))
+    if limit is not None:
+        count = front.where(table.ends(F.col("state"))).count()
+    grown = seen["n"]
+    while grown and not (limit is not None and count >= limit):
         if most_nodes is not None and size >= most_nodes:
             raise ValueError(f"paths of more than {most_nodes} nodes")
-        state = places.after(F.col("state")).bitwiseAND(F.col("fits"))
-        grown = front.join(steps, front["at"] == steps["src"]).where(~F.array_contains("ids", F.col("dst")))
-        front = written(grown.select(F.concat("ids", F.array("dst")).alias("ids"), F.col("dst").alias("at"), state.alias("state")).where("state <> 0"), "front")
-        size += 1
-    if not done:
-        return spark.createDataFrame([], empty)
-    found = reduce(DataFrame.unionByName, done).withColumn("n", F.monotonically_increasing_id())
-    found = written(found, "paths")
+        hops = HOPS if grown <= SMALL_FRONT else 1
+        hops = hops if most_nodes is None else min(hops, most_nodes - size)
+        levels = [front]
+        for _ in range(hops):
+            found = levels[-1].join(steps, ["at", "state"]).where(~F.array_contains("ids", F.col("dst")))
+            levels.append(found.select(F.concat("ids", F.array("dst")).alias("ids"), F.col("dst").alias("at"), F.col("next").alias("state")))
+        made, seen = counted(reduce(DataFrame.unionByName, levels[1:]), "front", last=F.count_if(F.size("ids") == size + hops), ended=ended)
+        size += hops
+        front, grown, count = made.where(F.size("ids") == size), seen["last"], count + seen["ended"]
+        done.append(made)
+    found = reduce(DataFrame.unionByName, done).where(table.ends(F.col("state"))).select("ids")
+    found = found if table.whole else written(found.distinct(), "paths")
+    found = found.withColumn("n", F.monotonically_increasing_id())
     steps_of = found.select("n", F.posexplode("ids").alias("k", "id")).join(nodes.select("id", "name"), "id")
     named = steps_of.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda s: s["name"]).alias("path"))
     out = named.select("path", F.size("path").alias("length"))

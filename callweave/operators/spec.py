@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from .paths import ANY, Alt, One, Pattern, Seq, Star
+from .automata import ANY, Alt, One, Pattern, Seq, Star
 from .select import ALL, Label, Name, Not, Or, And, Regex, Selection
 
 _TOKEN = re.compile(r'\s*(?:(?P<op>:(?:all_)?calle(?:rs|es))|(?P<any>\.\.\.)|(?P<word>[\w.]+)|"(?P<name>(?:\\.|[^"\\])*)"|/(?P<regex>(?:\\.|[^/\\])*)/|(?P<mark>[\[\]!,|()*]))', re.S)

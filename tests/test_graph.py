@@ -7,7 +7,7 @@ import pytest
 from callweave.functions.columns import described, display
 from callweave.graph import EDGES, LABELS, NODES, CallGraph
 from callweave.operators import closure, neighbours, views
-from callweave.operators.paths import ANY, Alt, One, Places, Seq, Star, paths
+from callweave.operators.paths import Alt, Seq, paths
 from callweave.operators.select import ALL, And, Label, Name, Or, Regex, Where
 from callweave.operators.spec import SpecError, pattern, selection
 from callweave.sources.facts import build, facts, rejected
@@ -168,11 +168,6 @@ def test_invalid(text):
         selection(text)
 
 
-@pytest.mark.parametrize("text", ["a b |c", "a*", "a /blah/ c", "a [] c", "(a b)* ... c", "a|b c"])
-def test_path_language(text):
-    pattern(text)
-
-
 @pytest.mark.parametrize("text", ["", "a |", "(a", "a **", "a *", "*"])
 def test_invalid_paths(text):
     with pytest.raises(SpecError):
@@ -210,14 +205,6 @@ def test_paths_in_views(logger):
     assert walked(logger, Seq()) == [] and walked(logger, Alt()) == []
 
 
-def test_places():
-    a, b = One(Name("a")), One(Name("b"))
-    p = Places(Seq((Star(a), Alt((b, Seq((a, ANY)))))))
-    assert (p.empty, p.first, p.last) == (False, 0b111, 0b1110) and p.follow == [0b111, 0, 0b1000, 0b1000]
-    with pytest.raises(ValueError):
-        Places(Seq((a,) * 63))
-
-
 @pytest.mark.parametrize("target", ["log_write", "retry", "stop", "sys_write", "format(char const*, int)"])
 def test_omitted_neighbours(logger, target):
     assert shown(views.omit_callers_of(logger, Name(target).ids(logger))) == LOGGER.omitted(target, True)
