@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.columns import described, display, kind
 from ..graph import CallGraph
 from ..operators import closure, neighbours, views
+from ..operators.automata import ANY, Automaton, One, Seq, matches
 from ..operators.paths import paths, printed
-from ..operators.select import Label
+from ..operators.select import Label, Predicate, Where
 from ..operators.spec import pattern, selection
 from ..sinks import writers
+from ..sources import readers
+from ..sources.facts import REJECTS, history
+from ..sources.store import Store
 from . import derived
+from .tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -291,3 +296,138 @@ def dot_isolated(g):
 @query(" SELECT file, string_agg(name, ', ' ORDER BY name) AS members FROM named WHERE file IS NOT NULL GROUP BY file")
 def dot_clusters(g):
     return writers.dot_clusters(g).select("file", F.array_join("members", ", ").alias("members"))
+
+
+#: The uses and definitions of derived.dump_lines in their order; a use stands for what its name meant by then.
+_DUMPED = """, used AS (
+  SELECT row_number() OVER (ORDER BY s.file, e.src, e.dst, k.head) AS ord, k.head, s.name AS symbol, s.username, d.name AS target, e.is_call
+  FROM (SELECT src, dst, is_call, FALSE AS head FROM edge UNION ALL SELECT id, 0, FALSE, TRUE FROM node WHERE NOT external) e
+  CROSS JOIN LATERAL (SELECT e.head) k JOIN node s ON s.id = e.src LEFT JOIN named d ON d.id = e.dst),
+told AS (SELECT username AS alias, ord, symbol FROM used WHERE head AND username IS NOT NULL),
+meant AS (SELECT u.symbol AS caller, coalesce(t.symbol, u.target) AS callee, u.is_call FROM used u ASOF LEFT JOIN told t ON t.alias = u.target AND t.ord < u.ord WHERE NOT u.head)"""
+
+
+def _named_edges(g: CallGraph) -> DataFrame:
+    ends = [g.nodes.select(F.col("id").alias(x), F.col("name").alias(n)) for x, n in (("src", "caller"), ("dst", "callee"))]
+    return g.edges.join(ends[0], "src").join(ends[1], "dst").select("caller", "callee", "is_call")
+
+
+@query(_DUMPED + " SELECT caller, callee, bool_or(is_call) AS is_call FROM meant GROUP BY caller, callee")
+def dump_as_of(g):
+    """Dumps cut into splits, with pretty names that mean something only from their definition on."""
+    return _named_edges(history(readers.dump_facts(derived.dump_lines(g))).at())
+
+
+@query(_DUMPED + """ SELECT name, bool_and(external) AS external FROM (
+      SELECT name, FALSE AS external FROM node WHERE NOT external UNION ALL SELECT callee, TRUE FROM meant) GROUP BY name""")
+def dump_nodes(g):
+    return history(readers.dump_facts(derived.dump_lines(g))).at().nodes.select("name", "external")
+
+
+def _scripted(g: CallGraph) -> CallGraph:
+    return readers.graph_of(readers.script_source(derived.script_text(g)))
+
+
+@query(" SELECT s.name AS caller, d.name AS callee, e.is_call FROM edge e JOIN node s ON s.id = e.src JOIN node d ON d.id = e.dst")
+def script_edges(g):
+    return _named_edges(_scripted(g))
+
+
+@query(""" SELECT concat('cannot add edge from external node: ', name) AS reason FROM node WHERE external AND id % 4 = 0
+    UNION ALL SELECT concat('not a command of a graph: node --hidden ', name) FROM node WHERE id % 9 = 0""")
+def script_rejects(g):
+    return _scripted(g).rejects.select("reason")
+
+
+@query(" SELECT name FROM node WHERE NOT (name LIKE '%5' AND id <= 70)")
+def script_omit_at_its_place(g):
+    """omit hides what is there by then, not what later lines define."""
+    return _scripted(g).all_nodes(True).select("name")
+
+
+@query(" SELECT name, 'late' AS label FROM node WHERE id % 5 = 0")
+def script_labels(g):
+    """A label goes to names that earlier lines know, and to no others."""
+    out = _scripted(g)
+    return out.labels.join(out.nodes, "id").select("name", "label")
+
+
+@query(" SELECT s.name AS caller, d.name AS callee, e.is_call FROM edge e JOIN node s ON s.id = e.src JOIN node d ON d.id = e.dst")
+def grown_edges(g):
+    """A graph loaded in three parts, the callers' definitions, their calls as far as they lead to even ids, and the rest."""
+    spark = g.spark
+    ends = [g.nodes.select(F.col("id").alias(x), F.col("name").alias(n)) for x, n in (("src", "name"), ("dst", "target"))]
+    edges = g.edges.join(ends[0], "src").join(ends[1], "dst")
+    parts = [
+        g.nodes.where("not external").select(*readers._fact("node", ord=F.col("id"), name=F.col("name"), file=F.col("file"))),
+        edges.where("dst % 2 = 0").select(*readers._fact("edge", ord=F.xxhash64("src", "dst").bitwiseAND(0xFFFFFFFF), name=F.col("name"), target=F.col("target"), is_call=F.col("is_call"), checked=F.lit(True))),
+        edges.select(*readers._fact("edge", ord=F.xxhash64("src", "dst").bitwiseAND(0xFFFFFFFF), name=F.col("name"), target=F.col("target"), is_call=F.col("is_call"), checked=F.lit(True))),
+    ]
+    store = Store(spark, scratch(spark, "store"), buckets=8)
+    for part in parts:
+        store.load(readers.Source(part, spark.createDataFrame([], REJECTS)))
+    return _named_edges(store.graph())
+
+
+_NEXT = """, pair AS (SELECT DISTINCT CAST(a.o_custkey AS BIGINT) AS src, CAST(b.o_custkey AS BIGINT) AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    after = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").cast("long").alias("dst"))
+    return orders.select("o_orderkey", F.col("o_custkey").cast("long").alias("src")).join(after, "o_orderkey").select("src", "dst").distinct()
+
+
+def edge_types_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of pairs of which most are no edges."""
+    return derived.derived(spark, sf_dir).edge_type(_pairs(spark, sf_dir))
+
+
+QUERIES["edge_types_of_pairs"] = edge_types_of_pairs
+SQL["edge_types_of_pairs"] = f"{derived.SQL}{_NEXT} SELECT p.src, p.dst, CASE WHEN e.is_call THEN 'call' ELSE 'ref' END AS type FROM pair p LEFT JOIN edge e ON e.src = p.src AND e.dst = p.dst"
+
+
+@query(" SELECT id, name FROM named")
+def reset_filter_view(g):
+    hidden = views.only(views.omit(g, VIP.ids(g), callers=True), Label("BUILDING").ids(g))
+    return hidden.reset_filter().all_nodes(True).select("id", display().alias("name"))
+
+
+@query(f""" SELECT n.id, n.name, 'NEAR' AS label FROM named n WHERE {_CALLING.format('e.dst IN (SELECT id FROM vip)')}""")
+def label_selection(g):
+    """label with a selection, after all labels were reset."""
+    out = g.add_label(VIP.callers().ids(g), "OLD").reset_labels().add_label(VIP.callers().ids(g), "NEAR")
+    return out.labels.join(out.named(out.labels), "id").select("id", "name", "label")
+
+
+@query(" SELECT id, name FROM named WHERE length(name) % 2 = 0 AND name LIKE '%0%'")
+def match_predicates(g):
+    """Own predicates, one of Spark's functions and one in Python."""
+    return g.named((Where(lambda c: F.length(c) % 2 == 0) & Predicate(lambda name: "0" in name)).ids(g))
+
+
+def walked(name: str, made: Automaton, first: str, step: str, final: str) -> None:
+    """Register paths of an automaton made by hand; see `walking` for the SQL."""
+    walking(name, "[]", first, step, final)
+    QUERIES[name] = lambda spark, sf_dir: printed(paths(derived.derived(spark, sf_dir), made, external_ok=True))
+
+
+_EVEN = Automaton([(0, VIP, 1), (1, VIP, 0), (0, ~VIP & Label("BUILDING"), 0), (1, ~VIP & Label("BUILDING"), 1)], {0}, {0})
+walked("paths_even", _EVEN, "CASE WHEN n.v THEN 1 WHEN n.l = 'BUILDING' THEN 0 END", "CASE WHEN n.v THEN 1 - p.state WHEN n.l = 'BUILDING' THEN p.state END", "state = 0")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the customers of ten orders in a row, as names, begin with one of BUILDING and hold a VIP later."""
+    g = derived.derived(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").cast("long").alias("id"))
+    named = orders.join(g.nodes.select("id", display().alias("name")), "id")
+    rows = named.groupBy(F.floor(F.col("o_orderkey") / 10).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "name"))), lambda x: x["name"]).alias("names"))
+    return matches(g, rows, "names", Seq((One(Label("BUILDING")), ANY, One(VIP), ANY))).select("block", "accepted")
+
+
+QUERIES["sequences"] = sequences
+SQL["sequences"] = f"""{derived.SQL}, row AS (
+  SELECT CAST(floor(o.o_orderkey / 10) AS BIGINT) AS block, row_number() OVER (PARTITION BY floor(o.o_orderkey / 10) ORDER BY o.o_orderkey, n.name) AS k,
+         n.id IN (SELECT id FROM vip) AS v, n.id IN (SELECT id FROM lab WHERE label = 'BUILDING') AS b
+  FROM orders o JOIN named n ON n.id = o.o_custkey)
+SELECT block, bool_or(k = 1 AND b) AND bool_or(k > 1 AND v) AS accepted FROM row GROUP BY block"""
