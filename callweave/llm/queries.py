@@ -53,8 +53,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(warc.read_captures(spark, path), path)
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(pages, path)
+    return warc.read_archives(warc.captures_of(warc.keys_of(pages), path), path)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

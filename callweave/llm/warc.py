@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread_join, written
+from .common import slices, spread_join, storage, written
 
 #: Payloads of fewer bytes never become revisits.
 LEAST_BYTES = 100
@@ -24,17 +24,6 @@ PART_BYTES = 128 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def storage(uri: str):
-    """The filesystem of a shared folder, and the path in it."""
-    from pyarrow import fs
-
-    if uri.startswith("/"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def key_of(url: str | None) -> str:
     """The reversed-host key of a URL: com,example,www)/path?query, in lower case but for path and query."""
     if not url:
@@ -241,38 +230,93 @@ def read_archives(captures: DataFrame, path: str, payloads: bool = False) -> Dat
     return dealt.mapInArrow(run, ", ".join(f"{k} {names[t]}" for k, t in kinds.items()))
 
 
-def lookup(urls: DataFrame, path: str, url_col: str = "url") -> DataFrame:
-    """(url, key, page_id, file, offset, length): the captures of each URL, none for unknown ones.
+def keys_of(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """(url, key): the index key of every URL, the empty one for null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key_of(u) for u in batch.column(0).to_pylist()], pa.string())], names=["url", "key"])
+
+    return urls.select(F.col(f"`{url_col}`").alias("url")).mapInArrow(run, "url string, key string")
+
+
+class Directory:
+    """The sparse directory of an index, of which the files that can hold some keys are read when they are asked for."""
 
-    Each task binary-searches the sparse directory (a row for each block of lines), range-reads the few blocks
-    that can hold the key, and binary-searches their lines. Null URLs are looked up by the empty key.
+    def __init__(self, base: str):
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSelector
+
+        self.fs, at = storage(f"{base}/directory")
+        self.files: list[tuple[str | None, str | None, str]] = []
+        for info in self.fs.get_file_info(FileSelector(at)):
+            if info.path.endswith(".parquet"):
+                with self.fs.open_input_file(info.path) as f:
+                    footer = pq.ParquetFile(f).metadata
+                ends = [footer.row_group(g).column(c).statistics for g in range(footer.num_row_groups) for c in (0, 1)]
+                if all(x is not None and x.has_min_max for x in ends):
+                    self.files += [(min(x.min for x in ends), max(x.max for x in ends), info.path)] if ends else []
+                else:
+                    self.files.append((None, None, info.path))
+        self.path, self.rows = None, {}
+
+    def blocks(self, keys: list[str]) -> Iterator[tuple[str, str, int, int]]:
+        """(key, file, offset, length) of the blocks that may hold sorted keys."""
+        import pyarrow.parquet as pq
+
+        for low, high, path in self.files:
+            own = keys if low is None else keys[bisect_left(keys, low) : bisect_right(keys, high)]
+            if not own:
+                continue
+            if path != self.path:
+                with self.fs.open_input_file(path) as f:
+                    self.path, self.rows = path, pq.read_table(f).sort_by([("first_key", "ascending"), ("offset", "ascending")]).to_pydict()
+            rows = self.rows
+            for key in own:
+                # A key's lines begin in the first block that ends with it or later, and go on while blocks begin with it.
+                for i in range(bisect_left(rows["last_key"], key), bisect_right(rows["first_key"], key)):
+                    yield key, rows["file"][i], rows["offset"][i], rows["length"][i]
+
+
+def captures_of(keys: DataFrame, path: str) -> DataFrame:
+    """(key, page_id, file, offset, length): the captures of each of some distinct keys (key), none for unknown ones.
+
+    Tasks take ranges of sorted keys and binary-search the sparse directory, of which they read the files in question alone. The blocks that may hold
+    a key are then dealt out; each is read by one range, and its lines are binary-searched for its keys. So the captures of a key that
+    fills many blocks are found by many tasks.
     """
     base = path.rstrip("/")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = None
+        for batch in batches:
+            directory = directory or Directory(base)
+            found = list(directory.blocks(batch.column(0).to_pylist()))
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "block", "start", "size"])
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = storage(f"{base}/blocks")
-        _, place = storage(f"{base}/directory")
-        table = pq.read_table(place, filesystem=fs).sort_by([("first_key", "ascending"), ("file", "ascending"), ("offset", "ascending")]).to_pydict()
-        held: dict[int, list[list[str]]] = {}
+        held, lines, named = None, [], []
         for batch in batches:
             found = []
-            for url in batch.column(0).to_pylist():
-                key = key_of(url)
-                low = max(0, bisect_left(table["first_key"], key) - 1)
-                for i in range(low, bisect_right(table["first_key"], key)):
-                    if table["last_key"][i] < key:
-                        continue
-                    if i not in held:
-                        if len(held) > 16:
-                            held.clear()
-                        held[i] = _block(fs, at, table["file"][i], table["offset"][i], table["length"][i])
-                    lines = held[i]
-                    for line in lines[bisect_left(lines, key, key=lambda x: x[0]) : bisect_right(lines, key, key=lambda x: x[0])]:
-                        found.append((url, key, int(line[1]) if line[1] else None, line[2], int(line[3]), int(line[4])))
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            columns = list(zip(*found, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["url", "key", "page_id", "file", "offset", "length"])
-
-    return urls.select(F.col(url_col).alias("url")).mapInArrow(run, "url string, key string, page_id long, file string, offset long, length long")
+            for key, *block in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if block != held:
+                    held, lines = block, _block(fs, at, *block)
+                    named = [line[0] for line in lines]
+                found += ((key, int(line[1]) if line[1] else None, line[2], int(line[3]), int(line[4])) for line in lines[bisect_left(named, key) : bisect_right(named, key)])
+            columns = list(zip(*found, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "offset", "length"])
+
+    asked = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    blocks = asked.mapInArrow(search, "key string, block string, start long, size long")
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(parts, "block", "start").sortWithinPartitions("block", "start", "key")
+    return dealt.mapInArrow(read, "key string, page_id long, file string, offset long, length long")
+
+
+def lookup(urls: DataFrame, path: str, url_col: str = "url") -> DataFrame:
+    """(url, key, page_id, file, offset, length): the captures of each URL through `captures_of`, none for unknown ones. Null URLs are looked up by the empty
+    key; URLs that repeat are answered once; no URLs give no rows."""
+    named = written(keys_of(urls, url_col).distinct(), "keys")
+    return named.join(captures_of(named, path), "key").select("url", "key", "page_id", "file", "offset", "length")

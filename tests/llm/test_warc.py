@@ -43,6 +43,23 @@ def test_many_blocks(spark, tmp_path):
     got = warc.lookup(spark.createDataFrame([(u,) for u in {u for _, u, _ in rows}], "url string"), str(tmp_path / "small"))
     assert got.count() == 600
     assert captures.count() == 600
+    by_key = lambda df: sorted(map(tuple, df.select("key", "file", "offset", "length").collect()))
+    assert by_key(warc.captures_of(warc.keys_of(spark.createDataFrame(rows, "page_id long, url string, html string")), path)) == by_key(captures)
+
+
+def test_a_key_over_many_blocks(spark, tmp_path):
+    """Captures of one URL fill blocks of their own, and keys begin and end inside blocks."""
+    rows = [(i, "http://often.example.com/" if i % 3 else f"http://h{i % 5}.example.com/{i % 11}", "same") for i in range(900)] + [(901, None, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path)
+    small = str(tmp_path / "small")
+    captures = warc.read_captures(spark, path)
+    warc.write_index(captures.selectExpr("key", "offset as page_id", "file", "offset", "length").repartition(3), small, lines=7)
+    got = warc.captures_of(warc.keys_of(pages), small).select("key", "file", "offset").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, captures.select("key", "file", "offset").collect())) and len(got) == 901
+    assert warc.captures_of(warc.keys_of(pages.where("url is null")), small).count() == 1
+    assert warc.lookup(pages.where("false"), small).count() == 0
 
 
 def test_no_pages(spark, tmp_path):
