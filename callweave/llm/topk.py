@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, storage, written
 
 #: Rows in the head that gives the rotation and the first thresholds; bounds what the driver holds and sends.
 HEAD_ROWS = 2048
@@ -48,6 +48,14 @@ def _products(queries: np.ndarray, rows: np.ndarray, safe: bool) -> np.ndarray:
     return np.array([max(-_LIMIT, min(_LIMIT, sum(int(a) * int(b) for a, b in zip(q, r, strict=True)))) for q, r in zip(queries, rows, strict=True)], np.int64)
 
 
+def rows_of(path: str, columns: list[str], reached: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of a written folder, AT_ONCE at a time; reached: of queries, those that can reach beyond that block."""
+    import pyarrow.dataset as ds
+
+    fs, at = storage(path)
+    yield from ds.dataset(at, filesystem=fs, format="parquet").to_batches(columns=columns, batch_size=AT_ONCE, filter=None if reached is None else ds.field("reached") > reached, batch_readahead=0, fragment_readahead=0, use_threads=False)
+
+
 class Block:
     """Vectors, longest first, with their rotated coordinates, their norms and the norms of what follows the first coordinates."""
 
@@ -124,7 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float | Non
     The vectors are sorted by length and cut into blocks that a task can hold. The head, a bounded number of the longest
     ones, gives the rotation (its right singular vectors) and, in tasks, each query's first threshold. A query then goes
     only to the blocks, the first ones in that order, whose longest vector could reach its threshold; every pair of a block and a slice of the queries
-    is one task's. There vectors are taken longest first, queries whose norms can't reach their thresholds any more are
+    is one task's, which reads both from the shared folder, the queries some at a time, so that what is shuffled are the pairs' numbers and never vectors. There vectors are taken longest first, queries whose norms can't reach their thresholds any more are
     left out, the bound of the remaining coordinates (Cauchy-Schwarz) is added to the partial sum of the first ones, and only
     what that leaves is multiplied out. A block hands on k rows for a query at most. The driver holds the head and one norm for each block.
     """
@@ -143,7 +151,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float | Non
     # The place n parts vectors of one length, also where rows repeat.
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * size // block_values))
     dealt = rows.repartitionByRange(count, F.desc("norm"), "n").select(F.spark_partition_id().alias("block"), "id", "v", "norm")
-    blocks = written(dealt, "blocks")
+    block_path = scratch(spark, "blocks")
+    dealt.write.partitionBy("block").parquet(block_path)
+    blocks = spark.read.schema("id long, v array<double>, norm double, block int").parquet(block_path)
     tops = np.full(count, -1.0)
     for block, top in blocks.groupBy("block").agg(F.max("norm")).collect():  # one row a block
         tops[block] = top
@@ -159,24 +169,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float | Non
                 reached = count - np.searchsorted(tops, search.least_norm())
                 yield pa.RecordBatch.from_arrays([own.column("id"), own.column("v"), pa.array(search.floor), pa.array(reached.astype(np.int32))], names=["id", "v", "floor", "reached"])
 
+    def block_of(number: int) -> Block | None:
+        held = [(b.column("id").to_numpy(), _matrix(b.column("v"), size)) for b in rows_of(f"{block_path}/block={number}", ["id", "v"]) if b.num_rows]
+        return Block(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), rotation, first) if held else None
+
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, block = None, [], None  # the rows of a block come before the queries that look for theirs in it
+        number, block = None, None
         for batch in batches:
-            place, part, probing = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "slice", "probe"))
-            cuts = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(part) != 0) | (probing[1:] != probing[:-1])) + 1).tolist(), batch.num_rows]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                if key != (place[s], part[s]):
-                    key, held, block = (place[s], part[s]), [], None
-                own = batch.slice(s, e - s)
-                if not probing[s]:
-                    held.append((own.column("id").to_numpy(), _matrix(own.column("v"), size)))
-                    continue
-                if block is None and held:
-                    block, held = Block(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), rotation, first), []
-                for at in range(0, own.num_rows if block else 0, AT_ONCE):
-                    some = own.slice(at, AT_ONCE)
+            for place, part in zip(*(batch.column(c).to_pylist() for c in ("block", "slice")), strict=True):
+                if place != number:
+                    number, block = place, None
+                    block = block_of(place)
+                for some in rows_of(f"{query_path}/slice={part}", ["id", "v", "floor"], reached=place) if block else ():
+                    if not some.num_rows:
+                        continue
                     ids = some.column("id").to_numpy()
                     search = Search(ids, _matrix(some.column("v"), size), k, rotation, first, some.column("floor").to_numpy())
                     search.take(block)
@@ -184,11 +190,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float | Non
                     yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(other), pa.array(score)], names=["query_id", "other", "score"])
 
     slices = max(1, -(-n_asked // query_slice))
-    aim = asked.mapInArrow(aimed, "id long, v array<double>, floor double, reached int").where("reached > 0")
-    own_slice = F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")
-    probes = aim.select(F.explode(F.sequence(F.lit(0), F.col("reached") - 1)).alias("block"), own_slice.alias("slice"), F.lit(True).alias("probe"), "id", "v", "floor")
-    members = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(False).alias("probe"), "id", "v", F.lit(0.0).alias("floor"))
-    pairs = members.unionByName(probes).repartition(min(count * slices, 1 << 20), "block", "slice").sortWithinPartitions("block", "slice", "probe")
+    query_path = scratch(spark, "aimed")
+    aim = asked.mapInArrow(aimed, "id long, v array<double>, floor double, reached int").where("reached > 0").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    aim.repartition("slice").sortWithinPartitions("slice", F.desc("reached")).write.partitionBy("slice").parquet(query_path)
+    # Only numbers are dealt out: what a slice's farthest query can reach, block by block.
+    aimed_rows = spark.read.schema("id long, v array<double>, floor double, reached int, slice int").parquet(query_path)
+    pairs = aimed_rows.groupBy("slice").agg(F.max("reached").alias("reached")).select(F.explode(F.sequence(F.lit(0), F.col("reached") - 1)).alias("block"), "slice")
+    pairs = pairs.repartition(min(count * slices, 1 << 20), "block", "slice").sortWithinPartitions("block", "slice")
     found = pairs.mapInArrow(met, "query_id long, other long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("other").alias(id_col), "score")
