@@ -26,21 +26,6 @@ def counters(radius: int, words: int) -> list[np.ndarray]:
     return [np.full(words, _FULL if preset >> k & 1 else 0, np.uint64) for k in range(width)]
 
 
-def near_one(store: np.ndarray, n: int, fingerprint: np.ndarray, radius: int) -> np.ndarray:
-    """Positions of the n fingerprints in the planes that differ from one in at most radius bits."""
-    own = np.unpackbits(np.ascontiguousarray(np.atleast_1d(fingerprint).astype("<u8")).view(np.uint8), bitorder="little")
-    count, over = counters(radius, store.shape[1]), np.zeros(store.shape[1], np.uint64)
-    for b, bit in enumerate(own):
-        carry = ~store[b] if bit else store[b]
-        for k in range(len(count)):
-            count[k], carry = count[k] ^ carry, count[k] & carry
-        over |= carry
-        if b % 8 == 7 and (over == _FULL).all():
-            break
-    hit = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little"))
-    return hit[hit < n]
-
-
 def close_pairs(fingerprints: np.ndarray, run: np.ndarray, radius: int, block_words: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j), i < j, of fingerprints of the same run that differ in at most radius bits.
 
@@ -102,33 +87,3 @@ def join_runs(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if (new == least).all():
             return least
         least = new
-
-
-def large_run(fingerprints: np.ndarray, radius: int, direct: int = 512) -> np.ndarray:
-    """The least position that links within the radius connect each fingerprint of one run with.
-
-    Short runs compare all pairs. In a long one, what is near a pivot is one part at once; only pairs
-    across parts are compared then, so a large group of near copies costs one comparison each, and what isn't
-    near it one with every member. No link between parts is missed.
-    """
-    n = len(fingerprints)
-    if n <= direct:
-        return join_runs(n, *close_pairs(fingerprints, np.zeros(n, np.int64), radius))
-    store = planes(fingerprints)
-    part = np.full(n, -1)
-    left, right = [], []
-    while (part < 0).any():
-        pivot = int(np.flatnonzero(part < 0)[0])
-        near = near_one(store, n, fingerprints[pivot], radius)
-        own = near[part[near] < 0]
-        part[own] = pivot
-        left.append(np.full(len(near), pivot))
-        right.append(near)
-    # Pivots have joined most parts by then; only what isn't in the largest of them looks for more links.
-    joined = join_runs(n, np.concatenate(left), np.concatenate(right))
-    largest = np.bincount(joined).argmax()
-    for i in np.flatnonzero((joined != largest) & (part != np.arange(n))):
-        near = near_one(store, n, fingerprints[i], radius)
-        left.append(np.full(len(near), i))
-        right.append(near)
-    return join_runs(n, np.concatenate(left), np.concatenate(right))

@@ -64,12 +64,8 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingle_hashes(text, size)]))
 
 
-def wide_fingerprint(text: str, size: int) -> np.ndarray:
-    """A SimHash of WIDE words over the distinct shingles of a text."""
-    return _wide(shingle_set(text, size))
-
-
 def _wide(hashes: np.ndarray) -> np.ndarray:
+    """A SimHash of WIDE words over distinct shingle hashes."""
     ones = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(hashes), 16384):
         words = hashes[at : at + 16384, None] + np.array(_TURNS, np.uint64)

@@ -140,19 +140,6 @@ def test_near_groups_of_repeated_ids(spark):
     assert sorted(map(tuple, found)) == sorted(want)
 
 
-def test_large_run():
-    """Pivots find the same parts as all pairs, chains included."""
-    rng = np.random.default_rng(3)
-    for n, radius in ((40, 6), (200, 6), (90, 20)):
-        fps = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)[rng.integers(0, 6, n)]
-        for _ in range(radius):
-            at = rng.integers(0, 256, n)
-            fps[np.arange(n), at // 64] ^= (np.uint64(1) << (at % 64).astype(np.uint64)) * rng.integers(0, 2, n).astype(np.uint64)
-        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if np.unpackbits((fps[i] ^ fps[j]).view(np.uint8)).sum() <= radius]
-        want = components_of(n, pairs)
-        assert bitslice.large_run(fps, radius, direct=1).tolist() == want and bitslice.large_run(fps, radius).tolist() == want
-
-
 def test_similar_groups(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))

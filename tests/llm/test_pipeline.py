@@ -2,11 +2,16 @@
 
 import hashlib
 import re
+import struct
+import zlib
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from callweave.llm import pii, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,8 +85,55 @@ def test_stages(spark, docs):
     assert clean.columns == docs.columns and clean.count() == docs.count() and clean.schema["n_chars"] == docs.schema["n_chars"]
     by = {r["doc_id"]: r["text"] for r in clean.where("doc_id > 900003").collect()}
     assert by[900005] == "mail <email>"
-    pieces = stages["packing"](spark, docs, SF)
-    assert pieces.select(F.countDistinct("doc_id")).first()[0] == docs.select(F.countDistinct("doc_id")).first()[0]
+
+
+def test_quality(spark, docs):
+    """Rows that go are those that the operator judges so, whatever repeats."""
+    kept = corpus_pipeline.good_quality(spark, docs, SF)
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    judged = quality.judge(docs, model, F.col("source"), F.col("lang"), carry=docs.columns).where("kept").select("row.*")
+    assert rows(kept) == rows(judged)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    stay = {r["doc_id"] for r in kept.collect()}
+    known = [(labels[r["doc_id"]], r["doc_id"] in stay) for r in docs.select("doc_id").collect() if labels.get(r["doc_id"]) is not None]
+    assert sum(k == s for k, s in known) > 0.85 * len(known)
+
+
+def test_personal_data(spark, docs):
+    """Every text with its spans replaced one by one, those that overlap as one."""
+    def replaced(text, spans):
+        out, at, merged = "", 0, []
+        for kind, start, end in spans:
+            if merged and start < merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], end)
+            else:
+                merged.append([kind, start, end])
+        for kind, start, end in merged:
+            out, at = f"{out}{text[at:start]}<{kind}>", end
+        return out + text[at:]
+
+    found = pii.find(docs).select("row.*", "found").collect()
+    want = [(r["doc_id"], r["text"] and replaced(r["text"], [(s["kind"], s["start"], s["end"]) for s in r["found"]]), r["lang"], r["source"]) for r in found]
+    clean = corpus_pipeline.personal_data(spark, docs, SF)
+    assert rows(clean.select("doc_id", "text", "lang", "source")) == sorted(want, key=repr) and sum(len(r["found"]) for r in found) > 20
+    assert clean.where("not (n_chars <=> length(text))").isEmpty()
+
+
+def test_packing(spark, docs):
+    """All ids of all documents, each once, in sequences without gaps."""
+    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    pieces, ends = {}, {}
+    for r in corpus_pipeline.packed(spark, some, SF).orderBy("doc_id", "start").collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for doc_id, text in some.select("doc_id", "text").collect():
+        ids, at = [*library.encode(text or "", add_special_tokens=False).ids, 1], 0
+        for p in pieces.pop(doc_id):
+            assert p["start"] == at and p["ids_crc32"] == zlib.crc32(struct.pack(f"<{p['length']}I", *ids[at : at + p["length"]]))
+            at += p["length"]
+        assert at == len(ids)
+    assert not pieces and all(sum(n for _, n in own) <= 2048 and all(o == sum(n for q, n in own if q < o) for o, _ in own) for own in ends.values())
 
 
 def test_run(spark):
