@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import written
+from ..plans.tables import counted, written
 
 
 def _dealt(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -51,9 +51,9 @@ class Events:
     def __init__(self, events: DataFrame):
         self.events = events
         kinds = events.groupBy("alias").agg(F.count("*").alias("_n"), F.min("ord").alias("_since"), F.min_by("symbol", "ord").alias("_symbol"))
-        self.kinds = written(kinds, "aliases")
+        self.kinds, seen = counted(kinds, "aliases", several=F.count_if(F.col("_n") > 1))
         self.several = self.kinds.where("_n > 1").select("alias")
-        self.single = self.several.isEmpty()
+        self.none, self.single = not seen["n"], not seen["several"]
 
 
 def as_of(rows: DataFrame, events: Events, on: str, name: str, order: str = "ord") -> DataFrame:
@@ -62,6 +62,8 @@ def as_of(rows: DataFrame, events: Events, on: str, name: str, order: str = "ord
     Most aliases have one event, which a plain join brings. Rows of an alias with several are sorted in with its events over range partitions
     and filled forward, so a name that a large share of all rows use lies on many tasks.
     """
+    if events.none:
+        return rows.withColumn(name, F.lit(None).cast("string"))
     found = rows.join(events.kinds.withColumnRenamed("alias", on), on, "left")
     plain = found.withColumn(name, F.when(F.col("_since") < F.col(order), F.col("_symbol")))
     if events.single:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..graph import CallGraph
 from ..operators.ordered import Events, as_of, numbered
-from ..plans.tables import written
+from ..plans.tables import counted, written
 
 #: kind: node, edge or label. name: the node, or an edge's caller; target: the callee; is_call: call, else ref.
 #: checked: as a command line does, an edge needs a caller that is defined by then, and a label a node that is there by then.
@@ -43,6 +43,9 @@ class History:
     labels: DataFrame
     aliases: DataFrame
     rejects: DataFrame
+    #: The last fact's ord and the largest of nodes' ids, null if there are none.
+    last: int | None = None
+    top: int | None = None
 
     def at(self, ord: int | None = None) -> CallGraph:
         """The graph of the facts before ord, all by default: a filter over the same tables."""
@@ -57,48 +60,54 @@ def _first_definitions(defs: DataFrame) -> DataFrame:
     return defs.groupBy("symbol").agg(F.min("ord").alias("defined"), F.min_by(F.struct("username", "file", "line"), "ord").alias("d")).select("symbol", "defined", "d.*")
 
 
-def history(found: DataFrame, known: Callable[[DataFrame], DataFrame] | None = None, aliases: DataFrame | None = None, next_id: int = 0) -> History:
+def history(found: DataFrame, known: Callable[[DataFrame], DataFrame] | None = None, told: Callable[[DataFrame], DataFrame | None] | None = None, next_id: int = 0) -> History:
     """What a batch of facts (FACTS) adds to a graph, empty by default.
 
     A name stands, at its own place among the facts, for the node that was last defined with that pretty name before, else for the symbol of the same
     spelling. The first definition of a node counts; what is only referred to is external. A call replaces a reference between the same
     nodes. Ids ascend from next_id, without gaps, in the order of the facts that first name the nodes (an edge's caller before its callee).
 
-    known gives the rows (NODE_HISTORY) of symbols (symbol) in the graph so far, aliases (ALIASES) its pretty names; all facts are later than those.
+    known gives the rows (NODE_HISTORY) of symbols (symbol) in the graph so far, told the pretty names (ALIASES) among names (alias), if it has any; all facts are
+    later than those.
     """
     spark = found.sparkSession
-    found = written(found, "facts")
-    old_aliases = spark.createDataFrame([], ALIASES) if aliases is None else aliases
-    look_up = known or (lambda symbols: spark.createDataFrame([], NODE_HISTORY))
+    found, seen = counted(found, "facts", last=F.max("ord"))
+    named = found.select(F.explode(F.array("name", "target")).alias("alias")).where("alias is not null").distinct()
+    aliases = told(named) if told else None
+    # All that names can come to stand for: themselves, and what old pretty names stand for.
+    old = spark.createDataFrame([], NODE_HISTORY)
+    if known is not None:
+        asked = named.withColumnRenamed("alias", "symbol")
+        asked = asked if aliases is None else asked.unionByName(aliases.select("symbol")).distinct()
+        old = written(known(asked), "known")
 
     def symbols(df: DataFrame, column: str, events: Events) -> DataFrame:
-        return as_of(df, events, column, "_symbol").withColumn(column, F.coalesce("_symbol", column)).drop("_symbol")
+        return df if events.none else as_of(df, events, column, "_symbol").withColumn(column, F.coalesce("_symbol", column)).drop("_symbol")
 
     # A definition's own name may be another's pretty name, which takes it out of the definitions that count; every round settles the
     # earliest of those at least, and mostly there are none.
-    defs = found.where("kind = 'node' and not external").select("ord", "name", "username", "file", "line")
-    defs = defs.withColumn("symbol", F.col("name"))
-    defs = written(symbols(defs, "symbol", Events(old_aliases)), "definitions") if aliases is not None else defs
+    defs = found.where("kind = 'node' and not external").select("ord", "name", "username", "file", "line").withColumn("symbol", F.col("name"))
+    before = old.where("defined is not null").select(F.col("name").alias("symbol"))
+    defs = written(symbols(defs, "symbol", Events(aliases)), "definitions") if aliases is not None else defs
     while True:
-        before = look_up(defs.select("symbol").distinct()).where("defined is not null").select(F.col("name").alias("symbol"))
         first = written(_first_definitions(defs).join(before, "symbol", "left_anti"), "first")
         news = first.where("username is not null").select(F.col("username").alias("alias"), F.col("defined").alias("ord"), "symbol")
-        events = Events(news.unionByName(old_aliases))
-        moved = written(symbols(defs.withColumn("was", F.col("symbol")).withColumn("symbol", F.col("name")), "symbol", events), "definitions")
+        events = Events(news if aliases is None else news.unionByName(aliases))
+        if events.none:
+            break
+        moved = symbols(defs.withColumn("was", F.col("symbol")).withColumn("symbol", F.col("name")), "symbol", events)
+        moved, change = counted(moved, "definitions", moved=F.count_if(F.col("symbol") != F.col("was")))
         defs = moved.drop("was")
-        if moved.where("symbol <> was").isEmpty():
+        if not change["moved"]:
             break
 
     edges = symbols(symbols(found.where("kind = 'edge'").select("ord", "name", "target", "is_call", "checked"), "name", events), "target", events)
     labels = symbols(found.where("kind = 'label'").select("ord", "name", "label", "checked"), "name", events)
     others = symbols(found.where("kind = 'node' and external").select("ord", "name"), "name", events)
-    edges, labels = written(edges, "edge-facts"), written(labels, "label-facts")
+    if not events.none:
+        edges, labels = written(edges, "edge-facts"), written(labels, "label-facts")
 
     checked = F.coalesce(F.col("checked"), F.lit(False))
-    mentioned = defs.select("symbol").unionByName(others.select(F.col("name").alias("symbol")))
-    for df, column in ((edges, "name"), (edges, "target"), (labels, "name")):
-        mentioned = mentioned.unionByName(df.select(F.col(column).alias("symbol")))
-    old = written(look_up(mentioned.distinct()), "known")
     defined = first.select("symbol", "defined").unionByName(old.where("defined is not null").select(F.col("name").alias("symbol"), "defined"))
     judged = written(edges.join(defined.withColumnRenamed("symbol", "name"), "name", "left").withColumn("fits", ~checked | F.coalesce(F.col("defined") < F.col("ord"), F.lit(False))), "judged")
     edges = judged.where("fits").select("ord", "name", "target", "is_call")
@@ -111,9 +120,11 @@ def history(found: DataFrame, known: Callable[[DataFrame], DataFrame] | None = N
     made = numbered(made, ["created", "slot", "symbol"], "id", next_id)
     fresh = made.select("id", F.col("symbol").alias("name"), "username", "file", "line", "created", "defined")
     late = old.where("defined is null").select("id", "name", "created").join(first.withColumnRenamed("symbol", "name"), "name").select("id", "name", "username", "file", "line", "created", "defined")
-    nodes = written(fresh.unionByName(late), "nodes")
+    nodes, top = counted(fresh.unionByName(late), "nodes", top=F.max("id"))
 
-    ids = written(nodes.unionByName(old).groupBy("name").agg(F.min("id").alias("id"), F.min("created").alias("since")), "ids")
+    ids = nodes.select("name", "id", F.col("created").alias("since"))
+    if known is not None:  # newly defined nodes are among the old ones too
+        ids = written(ids.unionByName(old.select("name", "id", F.col("created").alias("since"))).distinct(), "ids")
     refused = judged.where("not fits").join(ids.select("name", "since"), "name", "left")
     why = F.when(F.col("since") < F.col("ord"), F.concat(F.lit("cannot add edge from external node: "), "name")).otherwise(F.concat(F.lit("caller not found in graph: "), "name"))
     rejects = refused.select("ord", F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line"), why.alias("reason"))
@@ -121,7 +132,7 @@ def history(found: DataFrame, known: Callable[[DataFrame], DataFrame] | None = N
     edges = edges.groupBy("name", "target").agg(F.min("ord").alias("created"), F.min(F.when(F.col("is_call"), F.col("ord"))).alias("called"))
     edges = edges.join(ids.select("name", F.col("id").alias("src")), "name").join(ids.select(F.col("name").alias("target"), F.col("id").alias("dst")), "target").select("src", "dst", "created", "called")
     labels = labels.join(ids, "name").where(~checked | (F.col("since") < F.col("ord"))).groupBy("id", "label").agg(F.min("ord").alias("created"))
-    return History(nodes, written(edges, "edges"), written(labels, "labels"), written(news, "aliases"), written(rejects, "rejects"))
+    return History(nodes, written(edges, "edges"), written(labels, "labels"), news, rejects, seen["last"], top["top"])
 
 
 def build(found: DataFrame) -> CallGraph:

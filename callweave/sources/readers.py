@@ -86,7 +86,7 @@ def dump_facts(text: DataFrame, object_name: Callable[[Column], Column] | None =
     shown = F.when(head & ~plain & (symbol != ""), F.regexp_extract(rest, _NAMED, 1))
     target = F.when(~head, F.nullif(F.regexp_extract(v, _SYMBOL, 1), F.lit("")))
     rows = text.select("file", "start", "at", own.alias("own"), shown.alias("shown"), target.alias("target"), v.contains("(call").alias("is_call"))
-    rows = written(_ordered(written(rows.where("own is not null or target is not null"), "dump")).withColumn("fn", F.col("own")), "dump-lines")
+    rows = _ordered(written(rows.where("own is not null or target is not null"), "dump")).withColumn("fn", F.col("own"))
     nodes = rows.where("own is not null").select(*_fact("node", ord=F.col("ord"), name=F.col("own"), username=F.col("shown"), file=name(F.col("file"))))
     rows = carried(rows, "file", "start", ["ord"], "fn").where("target is not null and fn is not null")
     return nodes.unionByName(rows.select(*_fact("edge", ord=F.col("ord"), name=F.col("fn"), target=F.col("target"), is_call=F.col("is_call"))))

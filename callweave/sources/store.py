@@ -47,9 +47,13 @@ class Store:
 
     def known(self, symbols: DataFrame) -> DataFrame:
         """The nodes (NODE_HISTORY) of symbols (symbol)."""
-        names = written(symbols.select(F.col("symbol").alias("name")), "symbols")
+        names = symbols.select(F.col("symbol").alias("name"))
         return self.table("nodes", self.touched(names, ["name"])).join(names, "name", "left_semi").select(*(c.split()[0] for c in NODE_HISTORY.split(", ")))
 
+    def told(self, names: DataFrame) -> DataFrame | None:
+        """The pretty names (ALIASES) among names (alias); None if the graph has none at all."""
+        return self.table("aliases", self.touched(names, ["alias"])).join(names, "alias", "left_semi") if self.manifest["tables"]["aliases"] else None
+
     def history(self) -> History:
         empty = self.spark.createDataFrame([], REJECTS)
         return History(self.table("nodes"), self.table("edges"), self.table("labels"), self.table("aliases"), empty)
@@ -94,10 +98,7 @@ class Store:
     def _load(self, source: Source, batch: tuple[str, int] | None) -> Store:
         first, data = self.manifest["next_ord"], unused(self.path)
         later = lambda df: df.withColumn("ord", F.col("ord") + first)
-        found = written(later(source.facts), "facts")
-        named = found.select(F.explode(F.array("name", "target")).alias("alias")).where("alias is not null").distinct()
-        aliases = self.table("aliases", self.touched(named, ["alias"])).join(named, "alias", "left_semi")
-        new = history(found, self.known, aliases, self.manifest["next_id"])
+        new = history(later(source.facts), self.known if self.manifest["tables"]["nodes"] else None, self.told, self.manifest["next_id"])
 
         def of_nodes(rows: DataFrame) -> DataFrame:
             # Of a node's two rows at most, the earlier one is of an external node and holds nothing but its name.
@@ -122,11 +123,11 @@ class Store:
         labels = written(labels.where(alive), "new-labels")
         self._write("labels", labels, data, lambda rows: rows.where(alive).groupBy("id", "label").agg(F.min("created").alias("created")))
         rejects.write.parquet(f"{data}/rejects")
-        last = [df.agg(F.max("ord")).first()[0] for df in (found, source.rejects, *([source.commands] if source.commands is not None else []))]
-        ords = [last[0], *(x + first for x in last[1:] if x is not None)]
-        top = new.nodes.agg(F.max("id")).first()[0]
+        others = source.rejects.select("ord") if source.commands is None else source.rejects.select("ord").unionByName(source.commands.select("ord"))
+        last = others.agg(F.max("ord")).first()[0]
+        ords = [new.last, None if last is None else last + first]
         self.manifest |= {
-            "next_ord": max([first, *(x + 1 for x in ords if x is not None)]), "next_id": max(self.manifest["next_id"], -1 if top is None else top + 1), "rejects": [*self.manifest["rejects"], f"{data}/rejects"],
+            "next_ord": max([first, *(x + 1 for x in ords if x is not None)]), "next_id": max(self.manifest["next_id"], -1 if new.top is None else new.top + 1), "rejects": [*self.manifest["rejects"], f"{data}/rejects"],
             "batches": self.manifest["batches"] | ({batch[0]: batch[1]} if batch else {}),
         }
         commit(self.spark, self.path, self.version + 1, self.manifest)
