@@ -17,7 +17,7 @@ from .vectors import whole_numbers
 #: Vectors in a block, which has a tree for each of its parts and is what a task holds at a time.
 BLOCK_ROWS = 4096
 #: Points at which a tree ends at most.
-LEAF = 8
+LEAF = 16
 #: Numbers in the arrays of one comparison.
 AT_ONCE = 1 << 21
 
@@ -69,15 +69,16 @@ def filtered(trees: KdTrees, books: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     exact = fits(trees.points) and fits(books.reshape(-1, width))
     if not exact:
         return _all_pairs(trees, books)
+    books = books.astype(np.float64)  # exact here, and faster
     norm = (books**2).sum(axis=2)
     node, live = np.arange(parts), np.ones((parts, entries), bool)
     for level, cut in enumerate(trees.cut):
         part = node >> level
         for at in range(0, len(node), max(1, AT_ONCE // (entries * width))):
             some = slice(at, at + max(1, AT_ONCE // (entries * width)))
-            low, high, book = trees.low[level][node[some]], trees.high[level][node[some]], books[part[some]]
+            low, high, book = trees.low[level][node[some]].astype(np.float64), trees.high[level][node[some]].astype(np.float64), books[part[some]]
             far = ((2 * book - (low + high)[:, None, :]) ** 2).sum(axis=2)
-            best = np.where(live[some], far, np.iinfo(np.int64).max).argmin(axis=1)
+            best = np.where(live[some], far, np.inf).argmin(axis=1)
             row = np.arange(len(best))
             way = book - book[row, best][:, None, :]
             corner = np.where(way > 0, high[:, None, :], low[:, None, :])
@@ -98,15 +99,20 @@ def filtered(trees: KdTrees, books: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             node, live = np.repeat(2 * node, 2) + np.tile([0, 1], len(node)), np.repeat(live, 2, axis=0)
     size = np.diff(trees.cut[-1])[node]
     point = np.repeat(trees.cut[-1][node], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    leaf = np.repeat(np.arange(len(node)), size)
-    step = max(1, AT_ONCE // (entries * width))
+    rows = live[np.repeat(np.arange(len(node)), size)]
+    part = np.repeat(node >> (len(trees.cut) - 1), size)
+    step = max(1, AT_ONCE // width // max(1, int(rows.sum(axis=1).max(initial=0))))
     for at in range(0, len(point), step):
-        p, of = point[at : at + step], leaf[at : at + step]
-        part = node[of] >> (len(trees.cut) - 1)
-        far = ((books[part] - trees.points[p].astype(np.int64)[:, None, :]) ** 2).sum(axis=2)
-        own[p] = np.where(live[of], far, np.iinfo(np.int64).max).argmin(axis=1)
-        slot = part * entries + own[p]
-        np.add.at(sums, slot, trees.points[p].astype(np.int64))
+        p, of = point[at : at + step], part[at : at + step]
+        values = trees.points[p].astype(np.int64)
+        row, entry = np.nonzero(rows[at : at + step])  # the entries that are left, by point and index
+        far = ((books[of[row], entry] - values[row]) ** 2).sum(axis=1)
+        cut = np.searchsorted(row, np.arange(len(p)))
+        least = np.repeat(np.minimum.reduceat(far, cut), np.diff(np.concatenate([cut, [len(row)]])))
+        hit = np.flatnonzero(far == least)
+        own[p] = entry[hit[np.searchsorted(hit, cut)]]
+        slot = of * entries + own[p]
+        np.add.at(sums, slot, values)
         counts += np.bincount(slot, minlength=len(counts))
     return own, sums.reshape(books.shape), counts.reshape(parts, entries)
 
