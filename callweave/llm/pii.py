@@ -77,19 +77,63 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, matches: Column, pieces: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """body of value, which is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Items of a running fold that are gathered by one growing array; arrays of such parts are put together once.
+_RUN = 256
+
+
+def _running(values: Column, op) -> Column:
+    """For each place of an array of integers, op (associative) over all up to it; not for empty arrays. n values cost about n * _RUN + (n / _RUN) ** 2 copies of a number."""
+    none = F.array().cast("array<int>")
+
+    def push(acc: Column, x: Column) -> Column:
+        return F.concat(acc, F.array(F.when(F.size(acc) > 0, op(F.try_element_at(acc, F.lit(-1)), x)).otherwise(x)))
+
+    def folded(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(v) - 1, F.lit(_RUN))
+        parts = F.transform(starts, lambda s: F.aggregate(F.sequence(s, F.least(s + _RUN, F.size(v)) - 1), none, lambda acc, i: push(acc, F.get(v, i))))
+        return _let(parts, joined)
+
+    def joined(parts: Column) -> Column:
+        totals = F.aggregate(parts, none, lambda acc, part: push(acc, F.element_at(part, -1)))
+        return _let(totals, lambda t: F.flatten(F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(F.transform(part, lambda x: op(F.get(t, k - 1), x))))))
+
+    return _let(values, folded)
+
+
+def _located(matches: Column, pieces: Column) -> Column:
     """Start and end (code points), match and surroundings of each match, from what a split at the matches leaves between them."""
 
-    def add(acc: Column, i: Column) -> Column:
-        piece, m = F.element_at(pieces, i), F.element_at(matches, i)
-        start = acc["at"] + F.length(piece)
-        end = start + F.length(m)
-        item = F.struct(start.alias("start"), end.alias("end"), m.alias("m"), F.substring(piece, -40, 40).alias("before"), F.substring(F.element_at(pieces, i + 1), 1, 2).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def item(ends: Column):
+        def made(m: Column, i: Column) -> Column:
+            end = F.get(ends, i)
+            return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("m"), F.substring(F.get(pieces, i), -40, 40).alias("before"), F.substring(F.get(pieces, i + 1), 1, 2).alias("after"))
+
+        return made
+
+    lengths = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+    made = _let(_running(lengths, lambda a, b: a + b), lambda ends: F.transform(matches, item(ends)))
+    return F.when(F.size(matches) > 0, made).otherwise(F.array().cast(f"array<{_FOUND}>"))
+
 
-    none = F.array().cast(f"array<{_FOUND}>")
-    made = F.aggregate(F.sequence(F.lit(1), F.size(matches)), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, made).otherwise(none)
+def _apart(more: Column, base: Column) -> Column:
+    """Those of more that overlap none of base, neither of them empty: all are sorted by where they start, and each looks at the
+    largest end of base spans up to its place and at the first start of those after it."""
+
+    def kept(spots: Column) -> Column:
+        ends = _running(F.transform(spots, lambda s: F.when(s["at"] < 0, s["end"]).otherwise(F.lit(0))), F.greatest)
+        starts = F.reverse(_running(F.reverse(F.transform(spots, lambda s: F.when(s["at"] < 0, s["start"]).otherwise(F.lit(2**31 - 1)))), F.least))
+        clear = _let(ends, lambda e: _let(starts, lambda b: F.filter(spots, lambda s, i: (s["at"] >= 0) & (F.get(e, i) <= s["start"]) & (F.get(b, i) >= s["end"]))))
+        return F.transform(clear, lambda s: F.get(more, s["at"]))
+
+    def spot(c: Column, at: Column) -> Column:
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), at.alias("at"))
+
+    return _let(F.sort_array(F.concat(F.transform(base, lambda c: spot(c, F.lit(-1))), F.transform(more, lambda c, i: spot(c, i)))), kept)
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -140,15 +184,15 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     none = F.array().cast("array<string>")
     out = out.select("row", "text", *(F.when(when, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{k}_{b}") for k, b, p, when in searches))
     out = out.select("row", "text", *(f"m_{k}_{b}" for k, b, _, _ in searches), *(F.when(F.size(f"m_{k}_{b}") > 0, F.split("text", p, -1)).otherwise(none).alias(f"p_{k}_{b}") for k, b, p, _ in searches))
-    out = out.select("row", *(_located(F.col("text"), F.col(f"m_{k}_{b}"), F.col(f"p_{k}_{b}")).alias(f"s_{k}_{b}") for k, b, _, _ in searches))
+    out = out.select("row", *(_located(F.col(f"m_{k}_{b}"), F.col(f"p_{k}_{b}")).alias(f"s_{k}_{b}") for k, b, _, _ in searches))
     out = out.withColumns({f"s_{k}_True": F.filter(f"s_{k}_True", holds(k)) for k in KINDS})
 
     def judged(k: str, base: bool, spans: Column) -> Column:
         return F.transform(spans, lambda c: F.struct(F.lit(KINDS.index(k)).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(base).alias("base"), *_votes(k, base, c)))
 
     out = out.select("row", F.concat(*(judged(k, True, F.col(f"s_{k}_True")) for k in KINDS)).alias("base"), F.concat(*(judged(k, False, F.col(f"s_{k}_False")) for k in KINDS)).alias("more"))
-    apart = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.select("row", F.concat("base", F.when(F.size("more") > 0, apart).otherwise(F.col("more"))).alias("found"))
+    apart = F.when((F.size("more") > 0) & (F.size("base") > 0), _apart(F.col("more"), F.col("base"))).otherwise(F.col("more"))
+    return out.select("row", F.concat("base", apart).alias("found"))
 
 
 def reliabilities(votes: Sequence[tuple[int, ...]], kinds: Sequence[int], counts: Sequence[float], rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,19 +286,40 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return spans.select(F.col("row.id").alias(id_col), *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span of a text replaced by its kind in angle brackets; overlapping spans are one, named after the first. Null texts stay null."""
+#: Code points of a block of a text; a piece of the text is cut from the blocks that it lies in.
+_BLOCK = 1024
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """text with each of the sorted spans (one at least) replaced by its kind; those that overlap are one."""
+
+    def groups(tops: Column) -> Column:
+        """Where spans begin that no earlier one reaches, each with the largest end before the next of them."""
+        starts = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("at"), s["kind"].alias("kind")))
+        heads = F.filter(starts, lambda h: (h["at"] == 0) | (F.get(tops, h["at"] - 1) <= h["start"]))
+        last = F.size(tops) - 1
+        return _let(heads, lambda g: F.transform(g, lambda h, j: F.struct(h["start"].alias("start"), F.get(tops, F.coalesce(F.get(g, j + 1)["at"] - 1, last)).alias("end"), h["kind"].alias("kind"))))
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"], F.greatest(last["end"], s["end"]).alias("end"), last["kind"])))
-        own = F.concat(acc, F.array(F.struct(s["start"], s["end"], s["kind"])))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), grown).otherwise(own)
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _BLOCK).cast("int")
+        held = F.array_join(F.transform(F.sequence(first, F.floor((end - 1) / _BLOCK).cast("int")), lambda k: F.get(blocks, k)), "")
+        return F.when(start < end, F.substring(held, start - first * _BLOCK + 1, end - start)).otherwise(F.lit(""))
 
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    found = find(docs, text_col).withColumn("merged", F.aggregate("found", none, merge))
+    def made(merged: Column, blocks: Column) -> Column:
+        before = F.transform(merged, lambda g, j: F.concat(cut(blocks, F.when(j == 0, 0).otherwise(F.get(merged, j - 1)["end"]), g["start"]), F.lit("<"), g["kind"], F.lit(">")))
+        return F.concat(F.array_join(before, ""), cut(blocks, F.element_at(merged, -1)["end"], F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    tops = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return _let(_let(tops, groups), lambda merged: _let(blocks, lambda b: made(merged, b)))
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with each span of a text replaced by its kind in angle brackets; overlapping spans are one, named after the first.
+
+    Null texts stay null; null ids, repeated rows and empty tables are like others; a text may hold any number of spans.
+    """
+    found = find(docs, text_col)
     text = F.col(f"row.`{text_col}`")
-    before = F.transform("merged", lambda s, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.get("merged", i - 1)["end"] + 1), s["start"] - F.when(i == 0, 0).otherwise(F.get("merged", i - 1)["end"])), F.lit("<"), s["kind"], F.lit(">")))
-    rest = F.substring(text, F.element_at("merged", -1)["end"] + 1, F.length(text))
-    new = F.when(F.size("merged") > 0, F.concat(F.array_join(before, ""), rest)).otherwise(text)
+    new = F.when(F.size("found") > 0, _replaced(text, F.col("found"))).otherwise(text)
     return found.select(*(new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

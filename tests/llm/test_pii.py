@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -93,6 +94,58 @@ def test_redact(spark):
     assert "1111" not in found[5]["text"] and found[5]["text"].endswith(" end")
 
 
+def redacted(text, spans):
+    """A loop's version: spans as in pii.find."""
+    merged = []
+    for s in spans:
+        if merged and merged[-1][1] > s["start"]:
+            merged[-1][1] = max(merged[-1][1], s["end"])
+        else:
+            merged.append([s["start"], s["end"], s["kind"]])
+    for start, end, kind in reversed(merged):
+        text = text[:start] + f"<{kind}>" + text[end:]
+    return text
+
+
+def test_redact_as_a_loop(spark):
+    rng = random.Random(8)
+    more = ["".join(rng.choice(["é", "\U0001f600", "\n", "z ", "a@b.cd ", "+1 555 123 4567 ", "x" * 700 + " ", "10.0.0.1 ", "4111 1111 1111 1111"]) for _ in range(rng.randrange(1, 60))) for _ in range(80)]
+    rows = list(enumerate([t for t in texts() if t is not None] + more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = {r["row"]["doc_id"]: r["found"] for r in pii.find(docs).collect()}
+    found = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert found == {i: redacted(t, spans[i]) for i, t in rows}
+
+
+def test_more_spans_keep_off_base_spans(spark):
+    """What the other shapes add overlaps no base span, and nothing else is left out by that."""
+    rows = [(i, t) for i, t in enumerate(texts())] + [(5000, "+1 (555) 123-4567 (555) 123-4567 555-123-4567@x.yz 555-123-4567 a@b " * 300)]
+    found = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lone = {k: re.compile(p) for k, p in pii._MORE.items()}
+    for r in found:
+        own = [(s["start"], s["end"]) for s in r["found"] if s["base"]]
+        added = {(s["kind"], s["start"], s["end"]) for s in r["found"] if not s["base"]}
+        every = {(i, m.start(), m.end()) for i, k in enumerate(pii.KINDS) for m in lone[k].finditer(r["row"]["text"] or "")}
+        assert added == {x for x in every if not any(s < x[2] and x[1] < e for s, e in own)}
+
+
+def test_many_spans_take_linear_time(spark):
+    """A text of 80,000 spans takes no more than some times as long as one of 20,000, both ways."""
+
+    def took(n):
+        docs = spark.createDataFrame([(1, "".join(f"u{i}@mail{i}.example.com (555) 123-4567 é " for i in range(n)))], "doc_id long, text string")
+        began = time.monotonic()
+        got = pii.summary(docs).first()
+        text = pii.redact(docs).first()["text"]
+        assert got["n_email"] == n and got["spans"].count("email:") == n
+        assert text.count("<email>") == n and "@" not in text
+        return time.monotonic() - began
+
+    took(100)
+    small, large = took(10_000), took(40_000)
+    assert large < 8 * small + 2, (small, large)
+
+
 @pytest.mark.parametrize("patterns", [[], [(0, 1, 1, 0, 1, 0, 5)]])
 def test_few_patterns(patterns):
     assert np.isfinite(pii.span_classifier(patterns)).all()
