@@ -120,21 +120,27 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, hot: int | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, hot: int | None = None, total: int | None = None) -> DataFrame:
     """rows left-joined with groups (one row for each key), where a few keys may hold most of the rows.
 
     size names the column of groups with the number of rows of a key; key is a string column. Keys with
     at least one in `hot` of all counted rows (by default the session's shuffle partitions, 256 at least) are `hot` at most. Their groups are
     broadcast if all of their columns come to BROADCAST_BYTES at most, and repeated for SALTS parts of their rows otherwise; only if the hot
     keys alone are longer than that, nothing is told apart. The others are shuffled by their key, rows that are matched by then by the column spread.
+
+    total: no less than the sum of all sizes, where a caller knows it and groups' keys and columns are short (numbers); then nothing is counted or measured first.
     """
     hot = hot or max(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    total = groups.agg(F.sum(size)).first()[0] or 0
     own = [c for c in groups.columns if c != key]
+    measured = total is None
+    if measured:
+        total = groups.agg(F.sum(size)).first()[0] or 0
     many = groups.where(F.col(size) * hot >= total)
-    keys, whole = many.agg(F.sum(F.octet_length(key)), F.sum(F.octet_length(F.to_json(F.struct(*groups.columns))))).first()
-    if (keys or 0) > BROADCAST_BYTES:
-        return rows.join(groups, key, "left")
+    whole = 0
+    if measured:
+        keys, whole = many.agg(F.sum(F.octet_length(key)), F.sum(F.octet_length(F.to_json(F.struct(*groups.columns))))).first()
+        if keys is None or keys > BROADCAST_BYTES:
+            return rows.join(groups, key, "left").select(*rows.columns, *own)
     rest = groups.where(F.col(size) * hot < total).select(F.col(key).alias("_key"), *own)
     salt = F.xxhash64(spread)
     if (whole or 0) > BROADCAST_BYTES:

@@ -2,28 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitslice import join_runs
 from .common import passing, spread_join, written
 
+#: Links that a task joins to stars at once.
+AT_ONCE = 1 << 18
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) from each of some links' ids to the least that they connect it with; they connect what the links do."""
+    waiting: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        ends = np.concatenate([batch.column(c).to_numpy() for c in ("u", "v") for batch in waiting])
+        ids, at = np.unique(ends, return_inverse=True)
+        least = join_runs(len(ids), at[: len(at) // 2], at[len(at) // 2 :])
+        moved = np.flatnonzero(least != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[least[moved]])], names=["u", "v"])
+
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= AT_ONCE:
+            yield joined()
+            waiting.clear()
+    if waiting:
+        yield joined()
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """(k, u, least, degree, below): for every u, the least of it and its neighbours v, how many it has and how many are smaller. A table."""
+    least = links.groupBy("u").agg(F.least("u", F.min("v")).alias("least"), F.count("*").alias("degree"), F.count_if(F.col("v") < F.col("u")).alias("below"))
+    return written(least.select(F.col("u").cast("string").alias("k"), "*"), "least")
+
 
-def _nearest(links: DataFrame) -> DataFrame:
+def _nearest(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """(u, v, least): every link seen from u, with the least of u and its neighbours.
 
-    The least is found by grouping with map-side combining and joined back with hot nodes broadcast, so
-    a node with a large share of the links doesn't land in one task.
+    The least was found by grouping with map-side combining and is joined back with hot nodes broadcast, so
+    a node with a large share of the links doesn't land in one task. total: no fewer than the links.
     """
-    links = links.withColumn("k", F.col("u").cast("string"))
-    least = links.groupBy("k").agg(F.least(F.min("u"), F.min("v")).alias("least"), F.count("*").alias("degree"))
-    return spread_join(links, written(least, "least"), "k", "degree", F.col("v")).select("u", "v", "least")
+    named = links.withColumn("k", F.col("u").cast("string"))
+    return spread_join(named, least.select("k", "least", "degree"), "k", "degree", F.col("v"), total=total).select("u", "v", "least")
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(id, component): for every id in the links (a, b), the smallest id that they connect it with.
 
-    Alternates two steps until nothing changes: larger neighbours are linked to the least neighbour,
-    then smaller ones. Links only shrink towards stars, in a number of rounds logarithmic in the longest
+    Each task first joins its own links to stars. Then two steps alternate until all links are stars: larger neighbours are linked to the
+    least neighbour, then smaller ones. Links only shrink towards stars, in a number of rounds logarithmic in the longest
     chain; every round is a table in the shared folder, deleted once the result, itself a table there, is written. Ids are of an integer type. Links with a null end
     and links of an id with itself say nothing and are dropped; no links give no rows.
     """
@@ -33,20 +66,17 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
 
 def _settled(links: DataFrame, most_rounds: int) -> DataFrame:
     links = links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u"), "a", "b").where("a <> b").select("u", "v").distinct()
-    links = written(links, "links")
-    state = None
+    links = written(links.mapInArrow(_stars, links.schema), "links")
     for _ in range(most_rounds):
-        size = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(size) == state or not size[0]:
-            break
-        state = tuple(size)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        links = _nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+        least = _least(both)
+        # In stars, whoever has a smaller neighbour has no other.
+        total, apart = least.agg(F.sum("degree"), F.count_if(F.expr("below > 0 and degree > 1"))).first()
+        if not apart:
+            return least.select(F.col("u").alias("id"), F.col("least").alias("component"))
+        links = _nearest(both, least, total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
         links = written(links, "links")
-        near = _nearest(links)
+        near = _nearest(links, _least(links), total // 2)
         moved = near.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         links = written(moved.unionByName(near.select("u", F.col("least").alias("v"))).where("u <> v").distinct(), "links")
-    else:
-        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
-    stars = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, spread_join, written
-from .labelled import examples, fold, logistic
+from .labelled import fold, logistic, sample
 
-#: Training documents of each label; bounds what the driver holds.
+#: Training documents of each label; bounds what the driver holds, which is their features.
 PER_CLASS = 4000
 #: Paths up to this many are broadcast; more are joined through a shuffle.
 BROADCAST_PATHS = 100_000
@@ -59,11 +59,14 @@ class Classifier:
 
 def train(texts: Sequence[str], labels: Sequence[int], prior: float = 0.5) -> Classifier:
     """A logistic regression with both labels weighted alike. Without examples of both labels it says nothing of any text."""
-    y = np.array(labels, np.int64)
+    return _trained(np.array([features(t) for t in texts]), np.array(labels, np.int64), prior)
+
+
+def _trained(x: np.ndarray, y: np.ndarray, prior: float) -> Classifier:
+    """The classifier of examples' features x and labels y."""
     size = len(features(""))
     if not 0 < y.sum() < len(y):
         return Classifier(np.zeros(size), np.ones(size), np.zeros(size), prior)
-    x = np.array([features(t) for t in texts])
     mean, spread = x.mean(0), x.std(0)
     mean[0], spread[spread < 1e-9] = 0, 1
     weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
@@ -71,11 +74,22 @@ def train(texts: Sequence[str], labels: Sequence[int], prior: float = 0.5) -> Cl
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """A classifier of a bounded sample of labelled documents outside fold 0; the share of good ones among all labels outside fold 0 is its prior."""
-    found = examples(docs, labels, label, per_class, id_col, text_col)
+    """A classifier of a bounded sample of labelled documents outside fold 0; the share of good ones among all labels outside fold 0 is its prior.
+
+    Texts stay where they are: tasks turn them into features, and only those come to the driver.
+    """
+    chosen = sample(docs, labels, label, per_class, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), x], names=["id", "label", "x"])
+
+    kind = chosen.schema["id"].dataType.simpleString()
+    found = chosen.mapInArrow(run, f"id {kind}, label int, x array<double>").toArrow().sort_by([("id", "ascending")])
     share = labels.where(F.col(label).isin(0, 1) & (fold(id_col) != 0)).agg(F.avg(F.col(label).cast("double"))).first()[0]
     prior = min(0.999, max(0.001, 0.5 if share is None else share))
-    return train(found.column("text").to_pylist(), found.column("label").to_pylist(), prior)
+    return _trained(np.array(found.column("x").to_pylist()), np.array(found.column("label").to_pylist(), np.int64), prior)
 
 
 def _strength(units: DataFrame, n: str, rate: str, above: str) -> float:

@@ -318,13 +318,14 @@ def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
     """
     spark = hot.sparkSession
     cols, radius = [c for c in nodes.columns if c.startswith("w")], differing(similarity)
+    total = hot.count()
 
     def parted(rows: DataFrame) -> DataFrame:
         """Rows of each key that aren't in its largest component; counted by key and component, then by key."""
         each = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
         main = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
         main = written(main.where("parts > 1").select(F.col("key").cast("string").alias("k"), "main", "size"), "main")
-        return spread_join(rows.withColumn("k", F.col("key").cast("string")), main, "k", "size", F.col("node")).where("main is not null")
+        return spread_join(rows.withColumn("k", F.col("key").cast("string")), main, "k", "size", F.col("node"), total=total).where("main is not null")
 
     def labelled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The components' stars, which stand for the links so far, and the hot rows with their components."""
@@ -344,7 +345,7 @@ def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
         pivots = written(pivots.join(sizes, "k"), "pivots")
         if not pivots.head(1):
             return None
-        near = spread_join(apart.select("k", "node", "component", *cols), pivots, "k", "n", F.col("node"))
+        near = spread_join(apart.select("k", "node", "component", *cols), pivots, "k", "n", F.col("node"), total=total)
         bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in cols), F.lit(0))
         return alike(near.where("component <> p.component").where(bits <= radius).select(F.col("p.node").alias("a"), F.col("node").alias("b")), sets, similarity)
 
@@ -364,7 +365,7 @@ def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
     apart = apart.join(own, "node")
     weight = apart.groupBy("k").agg(F.count("*").alias("rows"), F.sum(F.size("shingles")).alias("held"))
     weight = written(weight.select("k", "rows", F.ceil(F.greatest(F.col("rows") / part, F.col("held") / SLICE_HASHES)).cast("int").alias("slices")), "slices")
-    apart = spread_join(apart, weight, "k", "rows", F.col("node"))
+    apart = spread_join(apart, weight, "k", "rows", F.col("node"), total=total)
     held = ("component", "node", *cols, "shingles")
     mine = apart.select("k", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), F.lit(False).alias("probe"), *held)
     probe = apart.where("component <> main").select("k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("probe"), *held)

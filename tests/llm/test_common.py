@@ -21,6 +21,19 @@ def test_spread_join(spark, hot, most, monkeypatch):
     assert common.spread_join(rows.where("false"), groups.where("false"), "key", "n", F.col("id"), hot).count() == 0
 
 
+@pytest.mark.parametrize("hot", [256, 2])
+@pytest.mark.parametrize("more", [0, 300])
+def test_spread_join_of_known_size(spark, hot, more):
+    """Where the caller knows the sizes' sum, or more, nothing is counted first and the rows are the same."""
+    rows = spark.range(900).select("id", F.when(F.col("id") < 600, "often").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("key <> 'k7'")
+    want = common.spread_join(rows, groups, "key", "n", F.col("id"), hot)
+    ran = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    found = common.spread_join(rows, groups, "key", "n", F.col("id"), hot, total=900 + more)
+    assert spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() == ran
+    assert found.columns == want.columns and sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 def test_hot_rows_are_dealt_out(spark):
     """Rows of a key that holds most of them don't meet in one partition."""
     rows = spark.range(4000).select("id", F.lit("one").alias("key"))

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from callweave.llm import bitslice, components, dedup, simhash
+from callweave.llm import bitslice, common, components, dedup, simhash
 
 ROWS = [(1, "a b c", "x"), (2, "a b c", "y"), (2, "a b c", "y"), (3, "", None), (4, None, "z"), (None, "a b c", "q"), (None, "only", "q"), (7, "other " * 5000, None), (9, "a b d", "")]
 SCHEMA = "doc_id long, text string, hash string"  # a column whose name the operator uses itself
@@ -102,6 +102,39 @@ def test_components(spark):
     assert found == {i: want[i] for p in pairs[:-1] for i in p}
 
 
+@pytest.mark.parametrize("at_once", [1 << 18, 50])
+def test_components_over_many_tasks(spark, at_once, monkeypatch):
+    """Chains, stars and cycles whose links lie in many tasks, which take more than one round."""
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    rng = random.Random(4)
+    order = rng.sample(range(400), 400)
+    pairs = [*zip(order, order[1:])] + [(450, j) for j in range(451, 700)] + [(j, 699) for j in range(700, 900)] + [(rng.randrange(900, 1100), rng.randrange(900, 1100)) for _ in range(120)]
+    want = components_of(1100, pairs)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("false", "13"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        rounds, least = [], components._least
+        monkeypatch.setattr(components, "_least", lambda links: rounds.append(1) or least(links))
+        rows = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert dict(map(tuple, rows)) == {i: want[i] for p in pairs if p[0] != p[1] for i in p} and len(rounds) > 1
+    assert len(rows) == len({r[0] for r in rows})
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Links that are stars already need one grouping and no join: each table and job of a round is planned on the driver."""
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, name, keep=False: made.append(name) or common.written(df, name, keep))
+    rows = components.components(spark.createDataFrame([(5, j) for j in range(6, 90)] + [(1, 3)], "a long, b long")).collect()
+    assert dict(map(tuple, rows)) == {1: 1, 3: 1, **{j: 5 for j in range(5, 90)}}
+    assert made == ["links", "least", "components"]
+    made.clear()
+    assert not components.components(spark.createDataFrame([(5, 5), (None, 3)], "a long, b long")).collect()
+
+
 @pytest.mark.parametrize("most", [1024, 3])
 def test_near_groups(spark, most):
     rng = random.Random(5)

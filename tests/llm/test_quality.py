@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.llm import quality, queries
+from callweave.llm import labelled, quality, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -88,3 +88,15 @@ def test_prior_leaves_out_fold_0(spark):
 
 def test_no_labels():
     assert quality.train(["a"], [1]).logits(["a", ""]).tolist() == [0.0, 0.0]
+
+
+def test_fit_brings_features_alone(spark, monkeypatch):
+    """Texts of the sample stay with the tasks; the model is the one that they train."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = labelled.examples(docs, labels, "quality", quality.PER_CLASS)
+    brought, to_arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: brought.append(dict(self.dtypes)) or to_arrow(self))
+    made = quality.fit(docs, labels)
+    assert brought == [{"id": "bigint", "label": "int", "x": "array<double>"}]
+    want = quality.train(known.column("text").to_pylist(), known.column("label").to_pylist(), made.prior)
+    assert all((getattr(made, c) == getattr(want, c)).all() for c in ("mean", "spread", "weights"))
