@@ -128,19 +128,23 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     broadcast if all of their columns come to BROADCAST_BYTES at most, and repeated for SALTS parts of their rows otherwise; only if the hot
     keys alone are longer than that, nothing is told apart. The others are shuffled by their key, rows that are matched by then by the column spread.
 
-    total: no less than the sum of all sizes, where a caller knows it and groups' keys and columns are short (numbers); then nothing is counted or measured first.
+    total: no less than the sum of all sizes, where a caller knows it, rows are a table and groups' keys and columns are short (numbers); then
+    nothing is counted or measured first, and rows of hot keys aren't shuffled at all.
     """
     hot = hot or max(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = [c for c in groups.columns if c != key]
-    measured = total is None
-    if measured:
-        total = groups.agg(F.sum(size)).first()[0] or 0
+    if total is not None:
+        named = groups.withColumnRenamed(key, "_key")
+        often = F.broadcast(named.where(F.col(size) * hot >= total))
+        same = F.col(key) == F.col("_key")
+        apart = rows.join(often, same).select(*rows.columns, *own)
+        others = rows.join(often.select("_key"), same, "left_anti").join(named.where(F.col(size) * hot < total), same, "left")
+        return apart.unionByName(others.select(*rows.columns, *own))
+    total = groups.agg(F.sum(size)).first()[0] or 0
     many = groups.where(F.col(size) * hot >= total)
-    whole = 0
-    if measured:
-        keys, whole = many.agg(F.sum(F.octet_length(key)), F.sum(F.octet_length(F.to_json(F.struct(*groups.columns))))).first()
-        if keys is None or keys > BROADCAST_BYTES:
-            return rows.join(groups, key, "left").select(*rows.columns, *own)
+    keys, whole = many.agg(F.sum(F.octet_length(key)), F.sum(F.octet_length(F.to_json(F.struct(*groups.columns))))).first()
+    if keys is None or keys > BROADCAST_BYTES:
+        return rows.join(groups, key, "left").select(*rows.columns, *own)
     rest = groups.where(F.col(size) * hot < total).select(F.col(key).alias("_key"), *own)
     salt = F.xxhash64(spread)
     if (whole or 0) > BROADCAST_BYTES:

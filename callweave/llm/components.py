@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import join_runs
-from .common import passing, spread_join, written
+from .common import passing, written
 
 #: Links that a task joins to stars at once.
 AT_ONCE = 1 << 18
@@ -37,19 +37,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _least(links: DataFrame) -> DataFrame:
-    """(k, u, least, degree, below): for every u, the least of it and its neighbours v, how many it has and how many are smaller. A table."""
-    least = links.groupBy("u").agg(F.least("u", F.min("v")).alias("least"), F.count("*").alias("degree"), F.count_if(F.col("v") < F.col("u")).alias("below"))
-    return written(least.select(F.col("u").cast("string").alias("k"), "*"), "least")
+    """(u, least, degree, below): for every u, the least of it and its neighbours v, how many it has and how many are smaller. A table."""
+    return written(links.groupBy("u").agg(F.least("u", F.min("v")).alias("least"), F.count("*").alias("degree"), F.count_if(F.col("v") < F.col("u")).alias("below")), "least")
 
 
-def _nearest(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+def _nearest(links: DataFrame, least: DataFrame) -> DataFrame:
     """(u, v, least): every link seen from u, with the least of u and its neighbours.
 
-    The least was found by grouping with map-side combining and is joined back with hot nodes broadcast, so
-    a node with a large share of the links doesn't land in one task. total: no fewer than the links.
+    The least was found by grouping with map-side combining; it is a table, so that Spark splits the partition of a node with a large share of the links.
     """
-    named = links.withColumn("k", F.col("u").cast("string"))
-    return spread_join(named, least.select("k", "least", "degree"), "k", "degree", F.col("v"), total=total).select("u", "v", "least")
+    return links.join(least.select("u", "least"), "u")
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -71,12 +68,10 @@ def _settled(links: DataFrame, most_rounds: int) -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both)
         # In stars, whoever has a smaller neighbour has no other.
-        total, apart = least.agg(F.sum("degree"), F.count_if(F.expr("below > 0 and degree > 1"))).first()
-        if not apart:
+        if least.where("below > 0 and degree > 1").isEmpty():
             return least.select(F.col("u").alias("id"), F.col("least").alias("component"))
-        links = _nearest(both, least, total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+        links = _nearest(both, least).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
         links = written(links, "links")
-        near = _nearest(links, _least(links), total // 2)
-        moved = near.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        links = written(moved.unionByName(near.select("u", F.col("least").alias("v"))).where("u <> v").distinct(), "links")
+        near = _nearest(links, _least(links)).select(F.explode(F.array("u", "v")).alias("u"), F.col("least").alias("v"))
+        links = written(near.where("u <> v").distinct(), "links")
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
